@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import connected, small, spill
+from .common import connected, discard, release, small, spill
 
 #: Counters of the rarity sketch.  Any order of the shingles is exact; this one only keeps regions small.
 SKETCH_BITS = 18
@@ -60,7 +60,11 @@ def _sketch(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, shingle: int, threshold: float, level: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, home): set size, a 128-bit name of the set, and its first pivots in rarity order."""
+    """(doc_id, n, k1, k2, home): set size, a 128-bit name of the set, and its first pivots in rarity order.
+
+    Pivots are named by 32 bits: where two of a set fall together, ``home`` is
+    shorter by one, which every bound below allows for.
+    """
     # the first document of each set in a batch carries the pivots for all its copies there
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
@@ -79,7 +83,7 @@ def _sets(docs: DataFrame, shingle: int, threshold: float, level: np.ndarray) ->
                     row[:-1] = total[bounds[1:]] - total[bounds[:-1]]
                 k1, k2 = sums[0, :-1].view(np.int64), sums[1, :-1].view(np.int64)
                 order = np.lexsort((value, level[(value >> _SHIFT).astype(np.int64)], owner))
-                ranked = value[order].view(np.int64)
+                ranked = (value[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 homes = []
                 for i in range(s.texts):
                     key = (int(k1[i]), int(k2[i]))
@@ -87,19 +91,20 @@ def _sets(docs: DataFrame, shingle: int, threshold: float, level: np.ndarray) ->
                         homes.append(None)
                         continue
                     seen.add(key)
-                    homes.append(ranked[bounds[i] : bounds[i] + _reach(int(n[i]), threshold)])
+                    home = ranked[bounds[i] : bounds[i] + _reach(int(n[i]), threshold)]
+                    homes.append(home[np.sort(np.unique(home, return_index=True)[1])])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(s.first, s.texts),
                         pa.array(n.astype(np.int64)),
                         pa.array(k1),
                         pa.array(k2),
-                        pa.array(homes, type=pa.list_(pa.int64())),
+                        pa.array(homes, type=pa.list_(pa.int32())),
                     ],
                     names=["doc_id", "n", "k1", "k2", "home"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, k1 long, k2 long, home array<long>")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, k1 long, k2 long, home array<int>")
 
 
 def _percent(threshold: float) -> int:
@@ -114,9 +119,10 @@ def _reach(n: int, threshold: float) -> int:
 def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> DataFrame:
     """Streams the cells, sorted by pivot, into candidate pairs.
 
-    kind 0: a pair (a, b) to verify; kind 1: a document of a large region and
-    one of the region's pivots (to verify as well); kind 2: a member (a) of a
-    large region.  Holds at most ``leaf`` documents of a region at a time.
+    kind 0: a pair (a, b) of a small region; kind 1: a document and a pivot of
+    its region, a small region having its first document for one; kind 2: a
+    member (a) of a large region, with its size and place (b).  Holds at most ``leaf`` documents of a region
+    at a time.
     """
     pct = _percent(threshold)
 
@@ -129,10 +135,10 @@ def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> Data
         held: np.ndarray | None = None  # rows (cell, id, n, at) of the region that may go on
         big = None  # the pivots of the region at hand, once it has outgrown a leaf
 
-        def out(kind, cell, a, b):
-            low, high = np.minimum(a, b), np.maximum(a, b)
+        def out(kind, cell, a, b, ordered=True):
+            low, high = (np.minimum(a, b), np.maximum(a, b)) if ordered else (a, b)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), kind, np.int32)), pa.array(np.broadcast_to(cell, len(a)).astype(np.int64)), pa.array(low), pa.array(high)],
+                [pa.array(np.broadcast_to(np.int32(kind), len(a)).copy() if np.ndim(kind) == 0 else kind), pa.array(np.broadcast_to(cell, len(a)).astype(np.int64)), pa.array(low), pa.array(high)],
                 names=["kind", "cell", "a", "b"],
             )
 
@@ -140,7 +146,7 @@ def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> Data
             for p in centres:
                 if len(other := rows[rows[:, 1] != p[1]]):
                     yield out(1, other[:, 0], other[:, 1], np.full(len(other), p[1]))
-            yield out(2, rows[:, 0], rows[:, 1], rows[:, 1])
+            yield out(2, rows[:, 0], rows[:, 1], rows[:, 2] << 32 | rows[:, 3], ordered=False)
 
         def leaves(rows):
             """All pairs inside regions that are whole and small."""
@@ -154,7 +160,8 @@ def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> Data
                     i, j = (first[k : k + step, None] + x).ravel(), (first[k : k + step, None] + y).ravel()
                     ok = fits(rows[i, 2], rows[i, 3], rows[j, 2], rows[j, 3]) & (rows[i, 1] != rows[j, 1])
                     if ok.any():
-                        yield out(0, rows[i[ok], 0], rows[i[ok], 1], rows[j[ok], 1])
+                        centre = np.tile(x == 0, len(i) // len(x))[ok].astype(np.int32)
+                        yield out(centre, rows[i[ok], 0], rows[i[ok], 1], rows[j[ok], 1])
 
         def flush(rows, last):
             """Emits what is complete; returns the rows that may go on and the pivots of their region."""
@@ -192,7 +199,7 @@ def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> Data
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
+            rows = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
             if held is not None and len(held):
                 rows = np.concatenate([held, rows])
             yield from pump(rows, False)
@@ -202,26 +209,43 @@ def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> Data
     return cells.mapInArrow(stream, "kind int, cell long, a long, b long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, common, na, nb) of pairs of documents, from their whole texts."""
+def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, share: int = 256) -> DataFrame:
+    """(a, b, common, na, nb) of pairs of documents, from their whole texts.
+
+    Every b travels to its a; an a of many partners is copied to one task for
+    each ``share`` of them, so that no group of copies meets in one place.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = tk.column(batch, "ta"), tk.column(batch, "tb")
-            sets: list[list[np.ndarray]] = [[], []]
-            for k, texts in enumerate((left, right)):
-                for s in tk.slices(texts):
+        at, centres = None, []
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                batch = whole.slice(first, 256)
+                sets: list[np.ndarray] = []
+                for s in tk.slices(tk.column(batch, "text")):
                     value, bounds = tk.shingle_sets(s, shingle)
-                    sets[k] += np.split(value, bounds[1:-1])
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b"))
-            sizes = [pa.array([len(x) for x in side], type=pa.int64()) for side in sets]
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(common, type=pa.int64()), *sizes], names=["a", "b", "common", "na", "nb"])
+                    sets += np.split(value, bounds[1:-1])
+                a, part, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "part", "b"))
+                rows = []
+                for i, found in enumerate(sets):
+                    if (a[i], part[i]) != at:
+                        at, centres = (a[i], part[i]), []
+                    if b[i] is None:
+                        centres.append(found)
+                        continue
+                    rows += [(a[i], b[i], len(np.intersect1d(c, found, assume_unique=True)), len(c), len(found)) for c in centres]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], type=pa.int64()) for k in range(5)], names=["a", "b", "common", "na", "nb"]
+                )
 
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(measure, "a long, b long, common long, na long, nb long")
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).alias("parts"))
+    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    dealt = spill(dealt, "dealt")
+    centres = spill(dealt.select("a", "part").distinct(), "centres")
+    ahead = docs.join(small(centres), docs["doc_id"] == F.col("a")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rest = docs.join(small(dealt), docs["doc_id"] == F.col("b")).select("a", "part", "b", "text")
+    rows = ahead.union(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return rows.mapInArrow(measure, "a long, b long, common long, na long, nb long")
 
 
 def jaccard_components(
@@ -250,19 +274,18 @@ def jaccard_components(
     classes = spill(
         sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes"
     )
-    # of a class's rows with pivots (one for each batch that holds a copy) one is kept, on the way to its cell
-    cells = (
-        sets.where("home is not null")
-        .join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-        .where("rep is not null")
-        .select("rep", "n", F.posexplode("home").alias("at", "cell"))
-    )
+    # of a class's rows with pivots (one for each batch that holds a copy) one is kept
+    homes = sets.where("home is not null").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep is not null")
+    homes = spill(homes.select("rep", "n", "home").dropDuplicates(["rep"]), "homes")
+    sets, whole = spill(sets.drop("home"), "sets"), sets
+    discard(whole)
+    cells = homes.select("rep", "n", F.posexplode("home").alias("at", "cell"))
     noisy = [int(x) for x in np.flatnonzero(counts > usual + hot)]
-    slot = F.shiftrightunsigned("cell", 64 - SKETCH_BITS).cast("int")
+    slot = F.shiftrightunsigned("cell", 32 - SKETCH_BITS)
     is_hot = slot.isin(noisy) if noisy and len(noisy) <= 4096 else (F.lit(bool(noisy)))
     calm = cells.where(~is_hot) if noisy else cells
     found = _regions(
-        calm.select("cell", "rep", "n", F.col("at").cast("long").alias("at"))
+        calm.select("cell", "rep", F.col("n").cast("int").alias("n"), "at")
         .repartition("cell")
         .sortWithinPartitions("cell", "rep"),
         threshold,
@@ -271,29 +294,45 @@ def jaccard_components(
     )
     if noisy:
         # regions that may hold a large part of all documents: dealt out by document, one pivot for all
-        many = cells.where(is_hot).select("cell", "rep").distinct()
+        many = cells.where(is_hot).groupBy("cell", "rep").agg(F.min("n").alias("n"), F.min("at").cast("long").alias("at"))
         centre = many.groupBy("cell").agg(F.min("rep").alias("p"))
         starred = many.join(centre, "cell")
         found = found.union(
             starred.where("rep != p").select(F.lit(1).alias("kind"), "cell", F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        ).union(starred.select(F.lit(2).alias("kind"), "cell", F.col("rep").alias("a"), F.col("rep").alias("b")))
+        ).union(starred.select(F.lit(2).alias("kind"), "cell", F.col("rep").alias("a"), F.expr("shiftleft(cast(n as bigint), 32) | at").alias("b")))
     found = spill(found, "regions")
-
-    first = spill(found.where("kind < 2 and a != b").groupBy("a", "b").agg(F.max("kind").alias("kind")), "pairs")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = spill(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
-        # rows that share a doc_id are one document: one of its texts serves
-        return docs.withColumnRenamed("doc_id", "rep").join(small(ids), "rep", "left_semi").dropDuplicates(["rep"])
-
-    measured = spill(_verify(first, texts_of(first), shingle), "measured")
-    linked = F.expr(f"100 * common >= {pct} * (na + nb - common)")
-    links = measured.where(linked).select("a", "b")
-    members = found.where("kind = 2").select("cell", F.col("a").alias("rep")).distinct()
+    del cells, calm
+    release(docs.sparkSession)
+
+    starred = spill(found.where("kind = 1 and a != b").groupBy("a", "b").agg(F.count("*").alias("m")), "starred")
+    nearest = starred.groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a"))).alias("x"))
+    tried = spill(nearest.select((-F.col("x.a")).alias("a"), "b"), "pairs")
+    def is_link(measured: DataFrame) -> DataFrame:
+        return measured.where(f"100 * common >= {pct} * (na + nb - common)").select("a", "b")
+
+    # first each document and the pivot that it shares most regions with: that connects most of what there is to connect
+    measured = spill(_verify(tried, docs, shingle), "measured")
+    release(docs.sparkSession)
+    links = is_link(measured)
     around = connected(links, "a", "b")
-    if not members.isEmpty():
-        links = links.union(_rest(members, found, measured, around, pct, shingle, texts_of))
+    # then the pairs that are not connected yet: of small regions, and of documents and the other pivots
+    pairs = _open_pairs(found.where("kind < 2 and a != b").select("a", "b").distinct(), around)
+    pairs = spill(pairs.join(tried, ["a", "b"], "left_anti"), "open")
+    pairs = spill(_plausible(pairs, homes, pct), "pairs")
+    if not pairs.isEmpty():
+        again = spill(_verify(pairs, docs, shingle), "measured")
+        release(docs.sparkSession)
+        measured, links = measured.union(again), links.union(is_link(again))
         around = connected(links, "a", "b")
+    # last, inside large regions, what the balls around the pivots leave open
+    members = found.where("kind = 2").select("cell", F.col("a").alias("rep"), F.expr("b >> 32").alias("n"), F.expr("b & 4294967295").alias("at"))
+    members = members.dropDuplicates(["cell", "rep"])
+    if not members.isEmpty():
+        pairs = _windows(members, found, measured, around, pct).join(measured.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = spill(_plausible(spill(pairs, "open"), homes, pct), "pairs")
+        if not pairs.isEmpty():
+            links = links.union(is_link(spill(_verify(pairs, docs, shingle), "measured")))
+            around = connected(links, "a", "b")
     named = classes.join(around.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component")
     )
@@ -302,8 +341,31 @@ def jaccard_components(
     )
 
 
-def _rest(members, found, measured, around, pct, shingle, texts_of) -> DataFrame:
-    """Links of large regions that the balls around their pivots have not connected."""
+def _plausible(pairs: DataFrame, homes: DataFrame, pct: int) -> DataFrame:
+    """The pairs whose first pivots have enough in common.
+
+    A shared shingle is among the first pivots of both, or it comes after the
+    last of one of them, of which there are ``n - reach``; pivots whose names
+    fall together may hide ``reach - size(home)`` more.
+    """
+    ids = spill(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
+    homes = homes.join(small(ids), "rep", "left_semi")
+    both = pairs.join(homes.toDF("a", "na", "ha"), "a").join(homes.toDF("b", "nb", "hb"), "b")
+    need = F.expr(f"ceil((na + nb) * {pct} / {100 + pct}) - greatest(na - size(ha), nb - size(hb))")  # both allowances in one
+    fits = F.expr(f"100 * least(na, nb) >= {pct} * greatest(na, nb)")
+    return both.where(fits & (F.size(F.array_intersect("ha", "hb")) >= need)).select("a", "b")
+
+
+def _open_pairs(pairs: DataFrame, around: DataFrame) -> DataFrame:
+    """The pairs whose documents are not in one component yet."""
+    ca = around.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    cb = around.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return both.where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b")
+
+
+def _windows(members: DataFrame, found: DataFrame, measured: DataFrame, around: DataFrame, pct: int) -> DataFrame:
+    """Pairs of large regions that the balls around their pivots have not connected and the triangle inequality allows."""
     placed = members.join(around.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
@@ -311,30 +373,33 @@ def _rest(members, found, measured, around, pct, shingle, texts_of) -> DataFrame
     main = size.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts"))
     main = main.where("parts > 1").select("cell", F.col("x.component").alias("main"))
     far = F.expr("1 - common / cast(na + nb - common as double)")
-    pivot = found.where("kind = 1").select("cell", "a", "b").distinct()
-    both = pivot.join(measured, ["a", "b"]).withColumn("far", far)
-    dist = both.select("cell", F.col("a").alias("rep"), F.col("b").alias("p"), "far").union(
-        both.select("cell", F.col("b").alias("rep"), F.col("a").alias("p"), "far")
+    # of the measured pairs of a region each is a document and a pivot; whichever names both of two documents bounds them
+    pivot = found.where("kind = 1").join(members.select("cell").distinct(), "cell", "left_semi").select("cell", "a", "b").distinct()
+    both = pivot.join(measured.dropDuplicates(["a", "b"]), ["a", "b"]).withColumn("far", far)
+    ring = both.groupBy("cell", F.col("b").alias("rep")).agg(
+        F.map_from_entries(F.collect_set(F.struct(F.col("a").alias("p"), "far"))).alias("ring")
     )
-    ring = dist.groupBy("cell", "rep").agg(F.map_from_entries(F.collect_set(F.struct("p", "far"))).alias("ring"))
     open_ = spill(placed.join(main, "cell").join(ring, ["cell", "rep"], "left"), "open")
     one = open_.where("component != main").select(
-        "cell", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("ring").alias("rx"), "main"
+        "cell", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("ring").alias("rx"), "main",
+        F.col("n").alias("nx"), F.col("at").alias("ax"),
+    )
+    two = open_.select(
+        "cell", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("ring").alias("ry"),
+        F.col("n").alias("ny"), F.col("at").alias("ay"),
+    )
+    fits = F.expr(
+        f"least(nx - ax, ny - ay) >= ceil((nx + ny) * {pct} / {100 + pct}) and 100 * least(nx, ny) >= {pct} * greatest(nx, ny)"
     )
-    two = open_.select("cell", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("ring").alias("ry"))
     near = F.expr(
         f"rx is null or ry is null or forall(map_keys(rx), p -> ry[p] is null or abs(rx[p] - ry[p]) <= {1 - pct / 100} + 1e-9)"
     )
-    pairs = (
+    return (
         one.join(two, "cell")
-        .where(F.expr("cx != cy and (cy = main or x < y)") & near)
+        .where(fits & F.expr("cx != cy and (cy = main or x < y)") & near)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-        .join(measured.select("a", "b"), ["a", "b"], "left_anti")
     )
-    pairs = spill(pairs, "rest")
-    more = _verify(pairs, texts_of(pairs), shingle)
-    return spill(more.where(f"100 * common >= {pct} * (na + nb - common)").select("a", "b"), "more")
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
