@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality
+from . import decontaminate, hmm_lm, jaccard_join, language_id, license_scan, line_dedup, mixing, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,41 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(_table(spark, sf_dir, "documents"))
+
+
+def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_table(spark, sf_dir, "documents"))
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+
+    def keyed(spans, k):
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), k(s).alias("k"), s["stop"].alias("stop")))
+
+    names = F.array(*[F.lit(x) for x in (*pii.KINDS, "term")])
+    everything = F.array_sort(F.concat(keyed(F.col("base"), lambda s: s["k"]), keyed(F.col("terms"), lambda s: F.lit(len(pii.KINDS)))))
+    return found.select(
+        "doc_id",
+        *[count(k) for k in range(len(pii.KINDS))],
+        F.sha2(F.array_join(pii.named(F.col("base"), pii.kind_of), ","), 256).alias("base_sha256"),
+        F.array_join(pii.named(everything, lambda s: F.element_at(names, s["k"] + 1)), ",").alias("spans"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -55,6 +90,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_license_scan": op2_license_scan,
+    "op3_hmm_lm": op3_hmm_lm,
+    "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
     "op7_mix": op7_mix,
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
