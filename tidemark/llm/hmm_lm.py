@@ -76,6 +76,18 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def _bar(counts: DataFrame, top: int) -> int:
+    """The least count that at most ``top`` words reach."""
+    total, bar = 0, 1 << 62
+    # there are at most sqrt(2 N) different counts
+    for c, n in sorted(counts.groupBy("c").agg(F.count("*").alias("n")).collect(), reverse=True):
+        total += n
+        if total > top:
+            break
+        bar = c
+    return bar
+
+
 class Vocabulary:
     """The most frequent words: sorted hashes, counts, classes."""
 
@@ -276,7 +288,7 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 5, segment: int = 256,
     spark = docs.sparkSession
     counts = spill(_count(docs), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "h").limit(top).toArrow()
+    head = counts.where(F.col("c") >= _bar(counts, top)).toArrow()
     vocabulary = Vocabulary(head["h"].to_numpy(), head["c"].to_numpy())
     encoded = spill(_encode(docs, vocabulary), "encoded")
 
