@@ -184,7 +184,7 @@ def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 3, width: int
     # document frequencies of the terms that may disclose anything, over all documents
     asked = spill(joint.select("t").distinct(), "asked")
     terms = docs.select(F.explode(F.array_distinct(F.transform(words(F.col("text"), SPACE), _token))).alias("t"))
-    df = terms.join(small(asked), "t", "left_semi").groupBy("t").agg(F.count("*").alias("nt"))
+    df = terms.groupBy("t").agg(F.count("*").alias("nt")).join(small(asked), "t")
     pmi = F.log(F.col("nj") * F.lit(float(total)) / (F.col("nt") * F.col("ne")))
     told = joint.join(df, "t").where(pmi >= alpha * F.log(F.lit(float(total)) / F.col("ne"))).select("e", "t")
     told = spill(told, "disclosing")
