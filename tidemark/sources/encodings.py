@@ -15,10 +15,6 @@ def bucket_of(key):
     return F.when(F.contains(key, F.lit("/")), F.regexp_replace(key, "/[^/]*$", ""))
 
 
-def millis(ts: str):
-    return F.expr(f"unix_millis(cast({ts} as timestamp))")
-
-
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key for each user, one revision for each event; errors are tombstones, sign-ups expire."""
     return table(spark, sf_dir, "events").selectExpr(
@@ -26,8 +22,8 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'users' as bucket",
         "cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as revision",
         "case when event_type <> 'error' then event_type end as value",
-        "unix_millis(cast(ts as timestamp)) as ts_l",
-        "case when event_type = 'signup' then unix_millis(cast(ts as timestamp)) + cast(floor(value) as bigint) * 3600000 end as expires_l",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as ts_l",
+        "case when event_type = 'signup' then timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) + cast(floor(value) as bigint) * 3600000 end as expires_l",
         "case when event_type = 'error' then 'Deleted' else 'Set' end as state",
         "false as no_revision",
     )
@@ -40,7 +36,7 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('orders/', o_orderpriority) as bucket",
         "cast(0 as bigint) as revision",
         "o_orderstatus as value",
-        "unix_millis(cast(o_orderdate as timestamp)) as ts_l",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) as ts_l",
         "cast(null as bigint) as expires_l",
         "case when o_orderstatus = 'P' then 'Deleted' else 'Set' end as state",
         "false as no_revision",
@@ -60,7 +56,7 @@ def events_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when event_type = 'view' and event_id % 3 = 2 then event_id % 7 end as cmp_rev",
         "event_id % 11 = 0 as norev",
         "case when event_type = 'purchase' then cast(floor(value) as bigint) * 60000 when event_type = 'view' and event_id % 3 = 0 then 3600000 else 0 end as ttl_ms",
-        "unix_millis(cast(ts as timestamp)) as ts_l",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as ts_l",
     )
 
 
@@ -72,7 +68,7 @@ def events_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('lock/', cast(user_id % 7 as string)) as resource",
         "cast(user_id % 3 as string) as owner",
         "cast(floor(value) as bigint) * 1000 as ttl_ms",
-        "unix_millis(cast(ts as timestamp)) as ts_l",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as ts_l",
     )
 
 
@@ -82,7 +78,7 @@ def lineitem_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag as name",
         "cast(l_linenumber as bigint) as count",
         "case when l_orderkey % 5 = 0 then cast(l_orderkey as string) end as idempotency_key",
-        "unix_millis(cast(l_shipdate as timestamp)) as ts_l",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate) as ts_l",
     )
 
 
@@ -122,7 +118,7 @@ def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when o_orderkey % 100 <> 0 then lpad(cast(o_custkey % 1000 + o_orderkey % 30 + 1 as string), 6, '0') end as end_key",
         "o_orderkey % 80 = 0 as end_incl",
         "case when o_orderkey % 3 = 0 then 'X' else 'S' end as mode",
-        "unix_millis(cast(o_orderdate as timestamp)) as expires_l",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) as expires_l",
     )
 
 
