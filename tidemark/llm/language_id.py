@@ -138,8 +138,9 @@ def _windows(part: np.ndarray, text_at: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, owner
 
 
-def train(docs: DataFrame, rows: int = 400, per_row: int = 3, hidden: int = 8, epochs: int = 8, seed: int = 6) -> Network | None:
+def train(docs: DataFrame, rows: int = 400, per_row: int = 3, hidden: int = 8, updates: int = 600, seed: int = 6) -> Network | None:
     """Fits the network on ``per_row`` windows of at most ``rows`` training rows of each language."""
+    docs = docs.select("doc_id", "text", "lang")
     known = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
     langs = sorted(r[0] for r in known.groupBy("lang").agg(F.count("*")).select("lang").collect())
     if not langs:
@@ -165,16 +166,17 @@ def train(docs: DataFrame, rows: int = 400, per_row: int = 3, hidden: int = 8, e
     x, y = x[order], y[order]
     net = Network(langs, hidden, rng)
     first, second = ([np.zeros_like(p) for p in net.params()] for _ in range(2))
-    n = 0
-    for epoch in range(epochs):
-        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
-            n += 1
-            rate = 0.02 * (1 - epoch / epochs) * (1 - 0.999**n) ** 0.5 / (1 - 0.9**n)
-            for p, g, a, b in zip(net.params(), net.fit_batch(np.ascontiguousarray(x[at].T), y[at]), first, second, strict=True):
-                np.clip(g, -1, 1, out=g)
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                p -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
+    n, queue = 0, []
+    while n < updates:
+        queue = queue or np.array_split(rng.permutation(len(y)), max(1, len(y) // 64))
+        at = queue.pop()
+        n += 1
+        rate = 0.02 * (1 - n / (updates + 1)) * (1 - 0.999**n) ** 0.5 / (1 - 0.9**n)
+        for p, g, a, b in zip(net.params(), net.fit_batch(np.ascontiguousarray(x[at].T), y[at]), first, second, strict=True):
+            np.clip(g, -1, 1, out=g)
+            a += 0.1 * (g - a)
+            b += 0.001 * (g * g - b)
+            p -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
     return net
 
 

@@ -125,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives:
                 )
 
     # a doc_id that many rows share counts with one of them
+    docs = docs.select("doc_id", "text")
     rows = docs.join(small(picked), docs["doc_id"] == picked["id"]).groupBy("id", "toxic").agg(F.min("text").alias("text"))
     found = rows.select("toxic", "text").mapInArrow(extract, "toxic int, f array<int>").toArrow().combine_chunks()
     y = found["toxic"].to_numpy().astype(float)
