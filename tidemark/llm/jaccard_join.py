@@ -336,9 +336,14 @@ def jaccard_components(
     named = classes.join(around.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component")
     )
-    return sets.join(named, ["k1", "k2"], "left").select(
+    out = sets.join(named, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
+    out = spill(out, "components")
+    for done in (sets, classes, homes, found, starred):
+        discard(done)
+    release(docs.sparkSession)
+    return out
 
 
 def _plausible(pairs: DataFrame, homes: DataFrame, pct: int) -> DataFrame:
