@@ -65,7 +65,7 @@ def _sweep() -> None:
 
 def words(text, pattern: str = SPACE):
     """The words of a text column; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), pattern), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), pattern), "")
 
 
 def let(value, body):
