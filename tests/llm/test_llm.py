@@ -200,6 +200,26 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean[101] and "boss@" not in clean[101] and "zorro" not in clean[101] and clean[5] == plain[5][1]
 
 
+def test_words_beside_an_entity(spark):
+    far = "x" * 300
+    rows = [
+        (0, "letter from our colleague and friend Jane Doe jd@corp.example Doe wrote it all down again today"),
+        (1, f"{far} one\ttwo\n{far} (jd@corp.example), {far} 😀 three"),
+        (2, "jd@corp.example"),
+        (3, "😀 a b jd@corp.example c d 1.2.3.4 e"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = frame.select("doc_id", "text", pii._around(F.col("text"), pii.base_spans(F.col("text")), 5).alias("a")).collect()
+    for r in found:
+        want = []
+        for start, _, stop in _base(r["text"]):
+            w = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"])]
+            want.append([x for x in w if x[1] < start][-5:] + [x for x in w if x[0] > stop][:5])
+        assert [[(t["start"], t["stop"]) for t in c["terms"]] for c in r["a"]] == want
+        assert all(r["text"][t["start"] : t["stop"]] == t["t"] for c in r["a"] for t in c["terms"])
+    assert [t["t"] for t in found[0]["a"][0]["terms"]] == "colleague and friend Jane Doe Doe wrote it all down".split()
+
+
 # 5 and 6: classifiers
 
 

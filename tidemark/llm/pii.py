@@ -114,45 +114,38 @@ def _token(w: Column) -> Column:
 def _around(text: Column, spans: Column, width: int) -> Column:
     """For each span the words, ``width`` on either side: array of (value, k, terms: array of (t, start, stop)).
 
-    Words that the window's edge or the span itself may have cut are left out.
+    What touches the span is the rest of a word that it cut, and is left out.
     """
-    reach = 24 * width  # code points looked at; longer words simply leave fewer of them
-
-    def one(s: Column) -> Column:
-        low = F.greatest(s["start"] - reach, F.lit(0))
-
-        def cut(start: Column, stop: Column, last: bool) -> Column:
-            piece = F.substring(text, start + 1, stop - start)
-            gaps = F.split(piece, "[^\\x20\\x09-\\x0D]+", -1)
-            found = F.regexp_extract_all(piece, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
-            placed = F.aggregate(
-                F.sequence(F.lit(1), F.size(found)),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<t:string,start:int,stop:int>>").alias("w")),
-                lambda a, i: F.struct(
-                    (a["at"] + F.length(F.get(gaps, i - 1)) + F.length(F.get(found, i - 1))).alias("at"),
+    gap, word = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+    # from the span outwards: the rest of a cut word, then whole words; before the span the text is read backwards
+    reach = f"^({word}*+(?:{gap}++{word}++){{0,{width}}})"
+
+    def placed(piece: Column, start: Column) -> Column:
+        gaps = F.split(piece, f"{word}+", -1)
+        found = F.regexp_extract_all(piece, F.lit(f"{word}+"), F.lit(0))
+        rows = F.aggregate(
+            F.sequence(F.lit(1), F.size(found)),
+            F.struct(start.alias("at"), F.array().cast("array<struct<t:string,start:int,stop:int>>").alias("w")),
+            lambda a, i: let(
+                F.struct((a["at"] + F.length(F.get(gaps, i - 1))).alias("from"), F.get(found, i - 1).alias("t")),
+                lambda x: F.struct(
+                    (x["from"] + F.length(x["t"])).alias("at"),
                     F.concat(
                         a["w"],
-                        F.array(
-                            F.struct(
-                                F.get(found, i - 1).alias("t"),
-                                (start + a["at"] + F.length(F.get(gaps, i - 1))).alias("start"),
-                                (start + a["at"] + F.length(F.get(gaps, i - 1)) + F.length(F.get(found, i - 1))).alias("stop"),
-                            )
-                        ),
-                    ),
+                        F.array(F.struct(x["t"].alias("t"), x["from"].alias("start"), (x["from"] + F.length(x["t"])).alias("stop"))),
+                    ).alias("w"),
                 ),
-            )["w"]
-            all_ = F.when(F.size(found) > 0, placed).otherwise(F.array().cast("array<struct<t:string,start:int,stop:int>>"))
-            # the outermost word may be cut by the edge, the innermost by the span: they go
-            return let(all_, lambda x: F.slice(x, F.greatest(F.size(x) - width, F.lit(1 if not last else 2)), F.lit(width)) if last else F.slice(x, 2, width))
-
-        def inner(x: Column, lo: Column, hi: Column) -> Column:
-            return F.filter(x, lambda w: (w["start"] > lo) & (w["stop"] < hi))
-
-        before = inner(cut(low, s["start"], True), F.when(low > 0, low).otherwise(F.lit(-1)), s["start"])
-        end = F.least(s["stop"] + reach, F.length(text))
-        after = inner(cut(s["stop"], end, False), s["stop"], F.when(end < F.length(text), end).otherwise(F.length(text) + 1))
-        return F.struct(s["value"].alias("value"), s["k"].alias("k"), F.concat(before, after).alias("terms"))
+            ),
+        )["w"]
+        return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<t:string,start:int,stop:int>>"))
+
+    def one(s: Column) -> Column:
+        back = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), s["start"])), reach, 1)
+        ahead = F.regexp_extract(F.substring(text, s["stop"] + 1, F.length(text)), reach, 1)
+        before = let(F.reverse(back), lambda x: placed(x, s["start"] - F.length(x)))
+        after = let(ahead, lambda x: placed(x, s["stop"]))
+        whole = F.concat(F.filter(before, lambda w: w["stop"] < s["start"]), F.filter(after, lambda w: w["start"] > s["stop"]))
+        return F.struct(s["value"].alias("value"), s["k"].alias("k"), whole.alias("terms"))
 
     return F.transform(spans, one)
 
