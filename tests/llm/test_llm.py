@@ -220,6 +220,23 @@ def test_words_beside_an_entity(spark):
     assert [t["t"] for t in found[0]["a"][0]["terms"]] == "colleague and friend Jane Doe Doe wrote it all down".split()
 
 
+def test_copies_weigh_on_no_side(spark):
+    plain = [(i, f"some other words stand here number{i} and more") for i in range(60)]
+    told = [(100 + i, f"word{i} alias{i} zorro wrote to boss@corp.example from{i} there{i} the end") for i in range(3)]
+    same = [(200 + i, f"number{i} is not this one but yours truly Diego head@corp.example of Alta California and his letter{i}") for i in range(3)]
+    copies = [(1000 + 100 * d + i, text) for d, text in told for i in range(50)]
+
+    def terms(rows):
+        found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string"), support=3).collect()
+        return {r["doc_id"]: [s["term"] for s in r["terms"]] for r in found}
+
+    once, often = terms(plain + told + same), terms(plain + told + same + copies)
+    assert {"zorro", "wrote", "to"} <= set(once[100])
+    # the same signature words in different texts
+    assert {"diego", "alta", "california"} <= set(once[200])
+    assert all(often[d] == once[d] for d in once)
+
+
 # 5 and 6: classifiers
 
 

@@ -2,22 +2,21 @@
 
 Patterns find e-mail addresses, IPv4 addresses, card numbers and phone numbers.
 The information-theoretic step then asks which *other* words give such an entity
-away: over the whole corpus it counts in how many documents a term occurs, in
-how many distinct contexts an entity occurs, and in how many of these the term
-stands near it.  A term discloses an entity when its pointwise mutual
+away: over the N distinct texts of the corpus it counts in how many a term
+occurs, in how many an entity occurs, and in how many the term stands near it.
+A term discloses an entity when its pointwise mutual
 information with it reaches ``alpha`` times the entity's own information,
 
     log(n(t, e) * N / (n(t) * n(e)))  >=  alpha * log(N / n(e)),
 
-the two having met in at least ``support`` contexts.  Disclosing terms are
+the two having met in at least ``support`` texts.  Disclosing terms are
 removed, or generalised to a placeholder, where they stand near the entity.
 
 All of it is DataFrame operations; places are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans; rows that share a doc_id and a
-text get the same spans; a repeated context (the same words around the same
-entity, as exact copies of a document have) counts once; extra columns pass
-through in ``sanitize``.
+text get the same spans; exact copies of a text count once, in all four numbers;
+extra columns pass through in ``sanitize``.
 """
 
 from __future__ import annotations
@@ -164,20 +163,22 @@ def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 3, width: int
         "doc_id", "th", F.concat_ws(":", "c.k", F.lower("c.value")).alias("e"), F.col("c.terms").alias("raw"),
         F.transform("c.terms", lambda w: F.struct(_token(w["t"]).alias("t"), w["start"].alias("start"), w["stop"].alias("stop"))).alias("terms"),
     )
-    contexts = near.select("e", F.sort_array(F.array_distinct(F.transform("terms", lambda w: w["t"]))).alias("ts")).distinct()
-    entity = contexts.groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= support)
+    # everything is counted in distinct texts, so that copies weigh on no side
+    entity = near.select("e", "th").distinct().groupBy("e").agg(F.count("*").alias("ne")).where(F.col("ne") >= support)
     entity = spill(entity, "entities")
-    joint = contexts.join(small(entity), "e").select("e", "ne", F.explode("ts").alias("t")).where("t rlike '\\\\p{L}'")
+    joint = near.join(small(entity), "e").select("e", "ne", "th", F.explode(F.array_distinct(F.transform("terms", lambda w: w["t"]))).alias("t"))
+    joint = joint.where("t rlike '\\\\p{L}'").distinct()
     joint = spill(joint.groupBy("e", "ne", "t").agg(F.count("*").alias("nj")).where(F.col("nj") >= support), "joint")
-    total = docs.count()
+    total = docs.where("text is not null").select(F.xxhash64("text")).distinct().count()
     none = F.array().cast("array<struct<start:int,stop:int,term:string>>")
     if joint.isEmpty():
         return spanned.select("doc_id", "base", none.alias("terms"))
 
-    # document frequencies of the terms that may disclose anything, over all documents
+    # in how many texts the terms occur that may disclose anything, over all documents
     asked = spill(joint.select("t").distinct(), "asked")
-    terms = docs.select(F.explode(F.array_distinct(F.transform(words(F.col("text"), SPACE), _token))).alias("t"))
-    df = terms.groupBy("t").agg(F.count("*").alias("nt")).join(small(asked), "t")
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), words(F.col("text"), SPACE).alias("w"))
+    terms = texts.select("th", F.explode(F.array_distinct(F.transform("w", _token))).alias("t"))
+    df = terms.join(small(asked), "t").distinct().groupBy("t").agg(F.count("*").alias("nt"))
     pmi = F.log(F.col("nj") * F.lit(float(total)) / (F.col("nt") * F.col("ne")))
     told = joint.join(df, "t").where(pmi >= alpha * F.log(F.lit(float(total)) / F.col("ne"))).select("e", "t")
     told = spill(told, "disclosing")
