@@ -116,6 +116,27 @@ def test_licenses(spark):
     assert (got[2][0] == "MIT") == (2 * len(a & b) / (len(a) + len(b)) >= 0.8)
 
 
+def test_sibling_licences_are_told_apart(spark):
+    own = [(name, text) for name, text in license_scan.TEMPLATES if text not in (license_scan._BSD, license_scan._BSD_1_2)]
+    notice = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd = f"{license_scan._BSD}\n\n{license_scan._BSD_1_2}"
+    own += [
+        ("GPL-2.0", notice.format(";", "", "2")),
+        ("GPL-2.0", notice.format(";", "", "2").replace("program", "library")),
+        ("AGPL-3.0", notice.format(":", "Affero ", "3")),
+        ("LGPL-3.0", notice.format(":", "Lesser ", "3")),
+        ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("BSD-3-Clause", f"{bsd}\n\n3. {license_scan._BSD_3}"),
+        ("BSD-2-Clause", bsd),
+        # what both share cannot tell them apart
+        ("BSD-2-Clause,BSD-3-Clause", license_scan._BSD),
+        ("GPL-2.0,MIT", "This work is licensed under the GNU General Public License, version 2.\nReleased under the MIT License."),
+    ]
+    rows = [(i, f"some text\n\n{text}\n\nand more of it that is no licence") for i, (_, text) in enumerate(own)]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.license_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i], text) for i, (_, text) in enumerate(own)] == own
+
+
 # 3: language model
 
 
