@@ -490,3 +490,17 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, docs):
     assert set(out.doc_id) == want
     assert all(h[2] == 0 for h in _hits(list(zip(out.doc_id, out.text, strict=True)), bench))
     assert abs(out.taken.sum() - 1.5 * out["size"].sum()) < 0.02 * out["size"].sum() + out["size"].max()
+
+
+def test_rows_that_share_an_id(spark):
+    """Each links by its own text, whichever way the rows are dealt."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"{c}{i}" for i in rng.integers(0, 10**6, 60)) for c in "abc"]
+    rows = [(1, texts[0]), (1, texts[1]), (3, texts[0] + " more"), (4, texts[1] + " more"), (5, texts[2]), (5, texts[2]), (6, texts[2] + " x"), (None, texts[0]), (None, "none like it at all here")]
+    for k in (1, 5):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(k)
+        got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(frame).collect()), key=repr)
+        assert got == sorted([(1, 1), (1, 1), (3, 1), (4, 1), (5, 5), (5, 5), (6, 5), (None, 1), (None, None)], key=repr)
+        clash = frame.withColumns({"later": F.lit(1), "__later": F.lit(2), "d": F.lit(3), "row": F.lit(4)})
+        kept = jaccard_join.deduplicate(clash)
+        assert kept.columns == clash.columns and sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 1, 5, 5, None, None], key=repr)

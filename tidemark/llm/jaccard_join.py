@@ -17,12 +17,18 @@ of every document to them is computed, documents inside the ball of radius
 distances to the pivots differ by at most ``r`` (the triangle inequality).
 Every surviving pair is verified on whole texts, so links are exact.
 
-Exact copies are collapsed before the join and expanded after it.
+Equal sets are one class, numbered, before the join and expanded after it; what
+is joined, verified and connected are classes, so that rows which share a doc_id
+and differ in text stay apart.  Candidate pairs are ruled out by parities before
+their texts are sent anywhere: every shingle flips one bit of its class's
+signature, and two sets differ in at least as many shingles as bits.
 
 Edge cases: null, empty and wordless texts have an empty set, link with nothing
-and are their own component; rows that share a doc_id are one document; a null
-doc_id is never the name of a component (its row gets its class's smallest
-doc_id, or null); extra columns are ignored.
+and are their own component; of rows that share a doc_id each links by its own
+text; a null doc_id is never the name of a component, and a class of which no
+row has a doc_id links with nothing (its rows get null); extra columns are
+ignored.  A very long text is one row of one kernel call, whose memory is some
+forty times the text.
 """
 
 from __future__ import annotations
@@ -59,11 +65,19 @@ def _sketch(docs: DataFrame, shingle: int) -> np.ndarray:
     return out
 
 
+def _parities(value: np.ndarray, bounds: np.ndarray, i: int) -> bytes:
+    """Bits of the i-th set, twice as many as shingles, rounded up to a power of two; every shingle flips one."""
+    own = value[bounds[i] : bounds[i + 1]]
+    bits = 1 << max(8, int(2 * len(own) - 1).bit_length())
+    flips = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
 def _sets(docs: DataFrame, shingle: int, threshold: float, level: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, home): set size, a 128-bit name of the set, and its first pivots in rarity order.
+    """(doc_id, n, k1, k2, home, odd): set size, a 128-bit name of the set, its first pivots in rarity order, its parities.
 
     Pivots are named by 32 bits: where two of a set fall together, ``home`` is
-    shorter by one, which every bound below allows for.
+    shorter by one.
     """
     # the first document of each set in a batch carries the pivots for all its copies there
     shared = docs.sparkSession.sparkContext.broadcast(level)
@@ -77,22 +91,20 @@ def _sets(docs: DataFrame, shingle: int, threshold: float, level: np.ndarray) ->
                 value, bounds = tk.shingle_sets(s, shingle)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(s.texts), n)
-                sums = np.zeros((2, s.texts + 1), dtype=np.uint64)
-                for row, salt in zip(sums, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(value ^ np.uint64(salt)), dtype=np.uint64)])
-                    row[:-1] = total[bounds[1:]] - total[bounds[:-1]]
-                k1, k2 = sums[0, :-1].view(np.int64), sums[1, :-1].view(np.int64)
+                k1, k2 = _names(value, bounds)
                 order = np.lexsort((value, level[(value >> _SHIFT).astype(np.int64)], owner))
                 ranked = (value[order] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                homes = []
+                homes, odd = [], []
                 for i in range(s.texts):
                     key = (int(k1[i]), int(k2[i]))
                     if n[i] == 0 or key in seen:
                         homes.append(None)
+                        odd.append(None)
                         continue
                     seen.add(key)
                     home = ranked[bounds[i] : bounds[i] + _reach(int(n[i]), threshold)]
                     homes.append(home[np.sort(np.unique(home, return_index=True)[1])])
+                    odd.append(_parities(value, bounds, i))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(s.first, s.texts),
@@ -100,11 +112,21 @@ def _sets(docs: DataFrame, shingle: int, threshold: float, level: np.ndarray) ->
                         pa.array(k1),
                         pa.array(k2),
                         pa.array(homes, type=pa.list_(pa.int32())),
+                        pa.array(odd, type=pa.binary()),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "home"],
+                    names=["doc_id", "n", "k1", "k2", "home", "odd"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, k1 long, k2 long, home array<int>")
+    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, k1 long, k2 long, home array<int>, odd binary")
+
+
+def _names(value: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of salted hashes for each set, which together name it."""
+    sums = np.zeros((2, len(bounds) - 1), dtype=np.uint64)
+    for row, salt in zip(sums, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tk.mix(value ^ np.uint64(salt)), dtype=np.uint64)])
+        row[:] = total[bounds[1:]] - total[bounds[:-1]]
+    return sums[0].view(np.int64), sums[1].view(np.int64)
 
 
 def _percent(threshold: float) -> int:
@@ -209,11 +231,13 @@ def _regions(cells: DataFrame, threshold: float, leaf: int, pivots: int) -> Data
     return cells.mapInArrow(stream, "kind int, cell long, a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, share: int = 256) -> DataFrame:
-    """(a, b, common, na, nb) of pairs of documents, from their whole texts.
+def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, share: int = 256) -> DataFrame:
+    """(a, b, common, na, nb) of pairs of classes, from whole texts.
 
     Every b travels to its a; an a of many partners is copied to one task for
-    each ``share`` of them, so that no group of copies meets in one place.
+    each ``share`` of them, so that no group of copies meets in one place.  A
+    row that shares the doc_id of a class's first row and has another text is
+    told by the names of its set.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +246,21 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, share: int = 256) -
             for first in range(0, whole.num_rows, 256):
                 batch = whole.slice(first, 256)
                 sets: list[np.ndarray] = []
+                own: list[np.ndarray] = []
                 for s in tk.slices(tk.column(batch, "text")):
                     value, bounds = tk.shingle_sets(s, shingle)
                     sets += np.split(value, bounds[1:-1])
-                a, part, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "part", "b"))
+                    own.append(np.stack(_names(value, bounds)))
+                names = np.concatenate(own, axis=1)
+                a, part, b, k1, k2 = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "part", "b", "k1", "k2"))
                 rows = []
                 for i, found in enumerate(sets):
                     if (a[i], part[i]) != at:
                         at, centres = (a[i], part[i]), []
+                    if (names[0, i], names[1, i]) != (k1[i], k2[i]):
+                        continue
                     if b[i] is None:
-                        centres.append(found)
+                        centres = [found]
                         continue
                     rows += [(a[i], b[i], len(np.intersect1d(c, found, assume_unique=True)), len(c), len(found)) for c in centres]
                 yield pa.RecordBatch.from_arrays(
@@ -240,12 +269,50 @@ def _verify(pairs: DataFrame, docs: DataFrame, shingle: int, share: int = 256) -
 
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).alias("parts"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    dealt = spill(dealt, "dealt")
-    centres = spill(dealt.select("a", "part").distinct(), "centres")
-    ahead = docs.join(small(centres), docs["doc_id"] == F.col("a")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-    rest = docs.join(small(dealt), docs["doc_id"] == F.col("b")).select("a", "part", "b", "text")
-    rows = ahead.union(rest).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(measure, "a long, b long, common long, na long, nb long")
+    known = classes.select("id", "rep", "k1", "k2")
+    rest = spill(dealt.join(known.withColumnRenamed("id", "b"), "b").select("rep", "a", "part", "b", "k1", "k2"), "dealt")
+    ahead = rest.select("a", "part").distinct().join(known.withColumnRenamed("id", "a"), "a")
+    asked = spill(rest.unionByName(ahead.withColumn("b", F.lit(None).cast("long"))), "asked")
+    rows = docs.join(small(asked), docs["doc_id"] == F.col("rep")).select("a", "part", "b", "k1", "k2", "text")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    out = spill(rows.mapInArrow(measure, "a long, b long, common long, na long, nb long").distinct(), "measured")
+    for done in (rest, asked):
+        discard(done)
+    release(docs.sparkSession)
+    return out
+
+
+def _possible(pairs: DataFrame, marks: DataFrame, pct: int) -> DataFrame:
+    """The pairs that may link by the sizes and parities of their sets."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("na", "nb"))
+            need = -(-(na + nb) * pct // (100 + pct))
+            ok = 100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)
+            odd = zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("oa", "ob")), strict=True)
+            for i, (x, y) in enumerate(odd):
+                if not ok[i]:
+                    continue
+                u, v = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                short = min(len(u), len(v))  # a longer signature folds
+                u, v = (np.bitwise_xor.reduce(z.reshape(-1, short), axis=0) for z in (u, v))
+                ok[i] = int(np.bitwise_count(u ^ v).sum()) <= na[i] + nb[i] - 2 * need[i]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    one = marks.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    two = marks.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    both = two.join(one.join(small(pairs), "a"), "b").select("a", "b", "na", "nb", "oa", "ob")
+    return both.mapInArrow(keep, "a long, b long")
+
+
+def _is_hot(cell, noisy: np.ndarray):
+    """Whether a pivot's counter is among the noisy ones, by a bitmap of all counters."""
+    slot = F.shiftrightunsigned(cell, 32 - SKETCH_BITS)
+    bits = np.packbits(noisy, bitorder="little").view(np.int64)
+    bitmap = F.split(F.lit(" ".join(map(str, bits))), " ").cast("array<bigint>")
+    word = F.get(bitmap, F.shiftright(slot, 6))
+    return F.call_function("shiftright", word, slot.bitwiseAND(63)).bitwiseAND(1) == 1
 
 
 def jaccard_components(
@@ -270,97 +337,89 @@ def jaccard_components(
     level = np.floor(2 * np.log2(np.maximum(counts / usual, 1.0))).astype(np.uint8)
     sets = spill(_sets(docs, shingle, threshold, level), "sets")
 
-    # exact copies: one class, named by its smallest doc_id
-    classes = spill(
-        sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes"
-    )
-    # of a class's rows with pivots (one for each batch that holds a copy) one is kept
-    homes = sets.where("home is not null").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("rep is not null")
-    homes = spill(homes.select("rep", "n", "home").dropDuplicates(["rep"]), "homes")
-    sets, whole = spill(sets.drop("home"), "sets"), sets
+    # equal sets: one class, numbered, with the smallest doc_id of its rows
+    grouped = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    classes = spill(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # of a class's rows with pivots (one for each batch that holds a copy) one is kept: they are alike
+    known = classes.where("rep is not null").select("k1", "k2", "id")
+    homes = sets.where("home is not null").join(known, ["k1", "k2"])
+    homes = spill(homes.select("id", "n", "home", "odd").dropDuplicates(["id"]), "homes")
+    sets, whole = spill(sets.drop("home", "odd"), "sets"), sets
     discard(whole)
-    cells = homes.select("rep", "n", F.posexplode("home").alias("at", "cell"))
-    noisy = [int(x) for x in np.flatnonzero(counts > usual + hot)]
-    slot = F.shiftrightunsigned("cell", 32 - SKETCH_BITS)
-    is_hot = slot.isin(noisy) if noisy and len(noisy) <= 4096 else (F.lit(bool(noisy)))
-    calm = cells.where(~is_hot) if noisy else cells
+    release(docs.sparkSession)
+    marks = homes.select("id", "n", "odd")
+    cells = homes.select("id", "n", F.posexplode("home").alias("at", "cell"))
+    noisy = counts > usual + hot
+    calm = cells.where(~_is_hot(F.col("cell"), noisy)) if noisy.any() else cells
     found = _regions(
-        calm.select("cell", "rep", F.col("n").cast("int").alias("n"), "at")
+        calm.select("cell", "id", F.col("n").cast("int").alias("n"), "at")
         .repartition("cell")
-        .sortWithinPartitions("cell", "rep"),
+        .sortWithinPartitions("cell", "id"),
         threshold,
         leaf,
         pivots,
     )
-    if noisy:
+    if noisy.any():
         # regions that may hold a large part of all documents: dealt out by document, one pivot for all
-        many = cells.where(is_hot).groupBy("cell", "rep").agg(F.min("n").alias("n"), F.min("at").cast("long").alias("at"))
-        centre = many.groupBy("cell").agg(F.min("rep").alias("p"))
+        many = cells.where(_is_hot(F.col("cell"), noisy)).groupBy("cell", "id").agg(F.min("n").alias("n"), F.min("at").cast("long").alias("at"))
+        centre = many.groupBy("cell").agg(F.min("id").alias("p"))
         starred = many.join(centre, "cell")
         found = found.union(
-            starred.where("rep != p").select(F.lit(1).alias("kind"), "cell", F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        ).union(starred.select(F.lit(2).alias("kind"), "cell", F.col("rep").alias("a"), F.expr("shiftleft(cast(n as bigint), 32) | at").alias("b")))
+            starred.where("id != p").select(F.lit(1).alias("kind"), "cell", F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
+        ).union(starred.select(F.lit(2).alias("kind"), "cell", F.col("id").alias("a"), F.expr("shiftleft(cast(n as bigint), 32) | at").alias("b")))
     found = spill(found, "regions")
     del cells, calm
     release(docs.sparkSession)
 
-    starred = spill(found.where("kind = 1 and a != b").groupBy("a", "b").agg(F.count("*").alias("m")), "starred")
-    nearest = starred.groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a"))).alias("x"))
-    tried = spill(nearest.select((-F.col("x.a")).alias("a"), "b"), "pairs")
     def is_link(measured: DataFrame) -> DataFrame:
         return measured.where(f"100 * common >= {pct} * (na + nb - common)").select("a", "b")
 
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        """What is left of some pairs after their parities, measured on whole texts."""
+        open_ = spill(pairs, "open")
+        left = spill(_possible(open_, marks, pct), "pairs")
+        out = None if left.isEmpty() else _verify(left, docs, classes, shingle)
+        discard(open_)
+        discard(left)
+        return out
+
     # first each document and the pivot that it shares most regions with: that connects most of what there is to connect
-    measured = spill(_verify(tried, docs, shingle), "measured")
-    release(docs.sparkSession)
-    links = is_link(measured)
-    around = connected(links, "a", "b")
+    starred = found.where("kind = 1 and a != b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    nearest = starred.groupBy("b").agg(F.max(F.struct("m", (-F.col("a")).alias("a"))).alias("x"))
+    tried = spill(nearest.select((-F.col("x.a")).alias("a"), "b"), "tried")
+    none = docs.sparkSession.createDataFrame([], "a long, b long, common long, na long, nb long")
+    measured = verified(tried)
+    measured = none if measured is None else measured
+    around = connected(is_link(measured), "a", "b")
     # then the pairs that are not connected yet: of small regions, and of documents and the other pivots
     pairs = _open_pairs(found.where("kind < 2 and a != b").select("a", "b").distinct(), around)
-    pairs = spill(pairs.join(tried, ["a", "b"], "left_anti"), "open")
-    pairs = spill(_plausible(pairs, homes, pct), "pairs")
-    if not pairs.isEmpty():
-        again = spill(_verify(pairs, docs, shingle), "measured")
-        release(docs.sparkSession)
-        measured, links = measured.union(again), links.union(is_link(again))
-        around = connected(links, "a", "b")
+    again = verified(pairs.join(tried, ["a", "b"], "left_anti"))
+    if again is not None:
+        measured = measured.union(again)
+        around = connected(is_link(measured), "a", "b")
     # last, inside large regions, what the balls around the pivots leave open
-    members = found.where("kind = 2").select("cell", F.col("a").alias("rep"), F.expr("b >> 32").alias("n"), F.expr("b & 4294967295").alias("at"))
-    members = members.dropDuplicates(["cell", "rep"])
+    members = found.where("kind = 2").select("cell", F.col("a").alias("id"), F.expr("b >> 32").alias("n"), F.expr("b & 4294967295").alias("at"))
+    members = members.dropDuplicates(["cell", "id"])
     if not members.isEmpty():
         pairs = _windows(members, found, measured, around, pct).join(measured.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = spill(_plausible(spill(pairs, "open"), homes, pct), "pairs")
-        if not pairs.isEmpty():
-            links = links.union(is_link(spill(_verify(pairs, docs, shingle), "measured")))
-            around = connected(links, "a", "b")
-    named = classes.join(around.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("component")
+        last = verified(pairs)
+        if last is not None:
+            around = connected(is_link(measured.union(last)), "a", "b")
+    # a component is named by the smallest doc_id of its classes
+    placed = classes.join(around.withColumnRenamed("node", "id"), "id", "left").select(
+        "k1", "k2", "rep", F.coalesce("component", "id").alias("component")
     )
-    out = sets.join(named, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
+    names = placed.groupBy("component").agg(F.min("rep").alias("name"))
+    out = sets.join(placed.join(names, "component").select("k1", "k2", "name"), ["k1", "k2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id")
     )
     out = spill(out, "components")
-    for done in (sets, classes, homes, found, starred):
+    for done in (sets, classes, homes, found, tried):
         discard(done)
     release(docs.sparkSession)
     return out
 
 
-def _plausible(pairs: DataFrame, homes: DataFrame, pct: int) -> DataFrame:
-    """The pairs whose first pivots have enough in common.
-
-    A shared shingle is among the first pivots of both, or it comes after the
-    last of one of them, of which there are ``n - reach``; pivots whose names
-    fall together may hide ``reach - size(home)`` more.
-    """
-    ids = spill(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
-    homes = homes.join(small(ids), "rep", "left_semi")
-    both = pairs.join(homes.toDF("a", "na", "ha"), "a").join(homes.toDF("b", "nb", "hb"), "b")
-    need = F.expr(f"ceil((na + nb) * {pct} / {100 + pct}) - greatest(na - size(ha), nb - size(hb))")  # both allowances in one
-    fits = F.expr(f"100 * least(na, nb) >= {pct} * greatest(na, nb)")
-    return both.where(fits & (F.size(F.array_intersect("ha", "hb")) >= need)).select("a", "b")
-
-
 def _open_pairs(pairs: DataFrame, around: DataFrame) -> DataFrame:
     """The pairs whose documents are not in one component yet."""
     ca = around.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -371,8 +430,8 @@ def _open_pairs(pairs: DataFrame, around: DataFrame) -> DataFrame:
 
 def _windows(members: DataFrame, found: DataFrame, measured: DataFrame, around: DataFrame, pct: int) -> DataFrame:
     """Pairs of large regions that the balls around their pivots have not connected and the triangle inequality allows."""
-    placed = members.join(around.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")
+    placed = members.join(around.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id")
     )
     size = placed.groupBy("cell", "component").agg(F.count("*").alias("m"))
     main = size.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts"))
@@ -381,16 +440,16 @@ def _windows(members: DataFrame, found: DataFrame, measured: DataFrame, around:
     # of the measured pairs of a region each is a document and a pivot; whichever names both of two documents bounds them
     pivot = found.where("kind = 1").join(members.select("cell").distinct(), "cell", "left_semi").select("cell", "a", "b").distinct()
     both = pivot.join(measured.dropDuplicates(["a", "b"]), ["a", "b"]).withColumn("far", far)
-    ring = both.groupBy("cell", F.col("b").alias("rep")).agg(
+    ring = both.groupBy("cell", F.col("b").alias("id")).agg(
         F.map_from_entries(F.collect_set(F.struct(F.col("a").alias("p"), "far"))).alias("ring")
     )
-    open_ = spill(placed.join(main, "cell").join(ring, ["cell", "rep"], "left"), "open")
+    open_ = spill(placed.join(main, "cell").join(ring, ["cell", "id"], "left"), "open")
     one = open_.where("component != main").select(
-        "cell", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("ring").alias("rx"), "main",
+        "cell", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("ring").alias("rx"), "main",
         F.col("n").alias("nx"), F.col("at").alias("ax"),
     )
     two = open_.select(
-        "cell", F.col("rep").alias("y"), F.col("component").alias("cy"), F.col("ring").alias("ry"),
+        "cell", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("ring").alias("ry"),
         F.col("n").alias("ny"), F.col("at").alias("ay"),
     )
     fits = F.expr(
@@ -410,8 +469,11 @@ def _windows(members: DataFrame, found: DataFrame, measured: DataFrame, around:
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """Keeps the document with the smallest doc_id of every component; its columns stay as they are.
 
-    Rows with a null doc_id are kept.  Of rows that share a doc_id all are kept, or none.
+    Rows with a null doc_id are kept.  Of rows that share a doc_id all are kept, or none: they go only if each of them
+    belongs to a component of a smaller doc_id.
     """
     found = jaccard_components(docs, **how)
-    later = spill(found.where("component_id < doc_id").select(F.col("doc_id").alias("__later")).distinct(), "later")
-    return docs.join(small(later), F.col("doc_id") == F.col("__later"), "left_anti")
+    worst = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("top"))
+    later = spill(worst.where("top < doc_id").select(F.col("doc_id").alias("later")), "later")
+    packed = docs.select(F.col("doc_id").alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.join(small(later), F.col("d") == F.col("later"), "left_anti").select("row.*")
