@@ -429,9 +429,9 @@ def test_lines(docs, hard):
             kept[r["doc_id"]] = []
             for i, line in enumerate((r["text"] or "").split("\n")):
                 w = _words(line.lower())
-                if len(w) < 5:
+                if not w:
                     continue
-                s = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+                s = frozenset(w)
                 if not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
                     kept[r["doc_id"]].append(i)
                 seen.append(s)
@@ -443,7 +443,34 @@ def test_dedup_lines_keeps_the_rest(hard):
     out = line_dedup.dedup_lines(hard)
     assert out.columns == hard.columns
     text = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert text[7] == "ein\nein\nzwei drei vier fünf sechs sieben" and 2 not in text and 3 in text and text[4] == ""
+    assert text[7] == "ein\nzwei drei vier fünf sechs sieben" and 2 not in text and 3 in text and text[4] == ""
+
+
+def test_variants_and_short_lines(spark):
+    """Variants of one line with a word changed, short lines that repeat, and blank lines."""
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(30)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        for at in rng.choice(30, int(rng.integers(0, 4)), replace=False):
+            w[at] = f"x{d}y{at}"
+        rows.append((d, "\n".join([" ".join(w), "Subscribe to our newsletter", "", f"menu {d % 3}", " ".join(f"u{d}v{k}" for k in range(int(rng.integers(1, 40))))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    kept, seen = {}, []
+    for d, text in rows:
+        kept[d] = []
+        for i, line in enumerate(text.split("\n")):
+            s = frozenset(line.lower().split())
+            if s and not any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
+                kept[d].append(i)
+            if s:
+                seen.append(s)
+    assert {r["doc_id"]: list(r["kept_lines"]) for r in line_dedup.line_report(frame).collect()} == kept
+    clash = frame.withColumns({"d": F.lit(1), "kept": F.lit(2), "blank": F.lit(3), "row": F.lit(4), "new": F.lit(5), "__d": F.lit(6)})
+    out = line_dedup.dedup_lines(clash)
+    want = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i in kept[d] or not x) for d, t in rows if kept[d]}
+    assert out.columns == clash.columns and {r["doc_id"]: r["text"] for r in out.collect()} == want
 
 
 # hard cases and the pipeline

@@ -337,9 +337,10 @@ def jaccard_components(
     level = np.floor(2 * np.log2(np.maximum(counts / usual, 1.0))).astype(np.uint8)
     sets = spill(_sets(docs, shingle, threshold, level), "sets")
 
-    # equal sets: one class, numbered, with the smallest doc_id of its rows
+    # equal sets: one class, with the smallest doc_id of its rows, and numbered by it: pivots are the first of their region,
+    # and of a group of near copies the first is likelier than others to lie in the middle
     grouped = sets.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    classes = spill(grouped.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = spill(grouped.orderBy("rep", "k1", "k2").withColumn("id", F.monotonically_increasing_id()), "classes")
     # of a class's rows with pivots (one for each batch that holds a copy) one is kept: they are alike
     known = classes.where("rep is not null").select("k1", "k2", "id")
     homes = sets.where("home is not null").join(known, ["k1", "k2"])

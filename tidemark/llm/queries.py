@@ -135,15 +135,15 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
     "op10_line_dedup": r"""
 WITH ln AS (SELECT doc_id, CAST(unnest(range(0, len(l))) AS BIGINT) AS i, unnest(l) AS line
             FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
-lw AS (SELECT doc_id, i, list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM ln),
-big AS (SELECT doc_id, i, w, row_number() OVER (ORDER BY doc_id, i) AS k FROM lw WHERE len(w) >= 5),
-s AS (SELECT DISTINCT k, array_to_string(w[j:j + 4], ' ') AS g FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS j FROM big)),
-n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
-p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k GROUP BY ALL),
-gone AS (SELECT DISTINCT b AS k FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-r AS (SELECT doc_id, count(*) AS n_compared, count(gone.k) AS n_removed,
-             string_agg(CASE WHEN gone.k IS NULL THEN CAST(i AS VARCHAR) END, ',' ORDER BY i) AS kept
-      FROM big LEFT JOIN gone USING (k) GROUP BY doc_id)
+lw AS (SELECT doc_id, i, list_sort(list_distinct(list_filter(string_split_regex(lower(line), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM ln),
+big AS (SELECT doc_id, i, w, row_number() OVER (ORDER BY doc_id, i) AS k FROM lw WHERE len(w) > 0),
+one AS (SELECT w, len(w) AS n, min(k) AS k FROM big GROUP BY w),
+s AS (SELECT k, n, unnest(w) AS g FROM one),
+p AS (SELECT a.k AS a, b.k AS b, a.n + b.n AS n, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+gone AS (SELECT DISTINCT b AS k FROM p WHERE 100 * c >= 80 * (n - c)),
+r AS (SELECT doc_id, count(*) AS n_compared, count(CASE WHEN one.k IS NULL OR gone.k IS NOT NULL THEN 1 END) AS n_removed,
+             string_agg(CASE WHEN one.k IS NOT NULL AND gone.k IS NULL THEN CAST(i AS VARCHAR) END, ',' ORDER BY i) AS kept
+      FROM big LEFT JOIN one USING (k) LEFT JOIN gone USING (k) GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(n_compared, 0) AS n_compared,
        coalesce(n_removed, 0) AS n_removed, coalesce(kept, '') AS kept_lines
 FROM documents d LEFT JOIN r USING (doc_id)""",
