@@ -258,6 +258,20 @@ def test_copies_weigh_on_no_side(spark):
     assert all(often[d] == once[d] for d in once)
 
 
+def test_many_matches_and_shared_ids(spark):
+    many = "".join(f"text {i} a{i}@corp.example +1 555 010 {i:04d}, ü 10.0.{i % 256}.9 " for i in range(4000))
+    one, two = "mail me at aa@bb.cc now", "there is mail from long.name@example.org in it"
+    rows = [(1, many, "x"), (2, one, "x"), (2, two, "x"), (2, two, "x"), (None, one, "x"), (3, None, "x"), (4, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __d string").withColumns({"__s": F.lit(1), "d": F.lit(2), "h": F.lit(3), "row": F.lit(4), "spans": F.lit(5)})
+    got = {r["doc_id"]: r["base"] for r in pii.find_spans(frame).collect() if r["doc_id"] == 1}[1]
+    assert [(s["start"], s["k"], s["stop"]) for s in got] == _base(many)
+    out = pii.sanitize(frame)
+    assert out.columns == frame.columns
+    texts = sorted(((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] != 1), key=repr)
+    clean = ["mail me at [EMAIL] now", "there is mail from [EMAIL] in it"]
+    assert texts == sorted([(2, clean[0]), (2, clean[1]), (2, clean[1]), (None, clean[0]), (3, None), (4, "")], key=repr)
+
+
 # 5 and 6: classifiers
 
 

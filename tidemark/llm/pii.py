@@ -16,7 +16,8 @@ All of it is DataFrame operations; places are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans; rows that share a doc_id and a
 text get the same spans; exact copies of a text count once, in all four numbers;
-extra columns pass through in ``sanitize``.
+extra columns pass through in ``sanitize``, whatever their names.  A very long
+text is one row, its matches are placed in blocks.
 """
 
 from __future__ import annotations
@@ -68,6 +69,32 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(_digits(m)).between(9, 15)
 
 
+def _running(xs: Column, fold, zero: Column) -> Column:
+    """For each item the fold of all before it.
+
+    An array that grows by one is copied each time; beyond a few items it is
+    therefore done for blocks of sqrt(n) and within them.
+    """
+
+    def plain(items: Column) -> Column:
+        begin = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct(fold(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(items, begin, step)["out"]
+
+    def blocked(items: Column, b: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(items) / b).cast("int") - 1)
+        heads = plain(F.transform(blocks, lambda j: F.aggregate(F.slice(items, j * b + 1, b), zero, fold)))
+
+        def inside(j: Column, head: Column) -> Column:
+            places = F.sequence(F.lit(0), F.least(b, F.size(items) - j * b) - 1)
+            return F.transform(places, lambda i: F.aggregate(F.slice(items, j * b + 1, i), head, fold))
+
+        return let(heads, lambda h: F.flatten(F.transform(blocks, lambda j: inside(j, F.get(h, j)))))
+
+    root = F.ceil(F.sqrt(F.size(xs))).cast("int")
+    return F.when(F.size(xs) <= 64, plain(xs)).otherwise(blocked(xs, root))
+
+
 def _matches(text: Column, kind: str) -> Column:
     """All valid matches: array of (start, k, stop, value), ``k`` being the kind's place in KINDS."""
     pattern = PATTERNS[kind]
@@ -76,15 +103,10 @@ def _matches(text: Column, kind: str) -> Column:
 
     def placed(pair: Column) -> Column:
         m, gaps = pair["m"], pair["g"]
-        # running ends: the gap before each match and all that came before it
-        sums = F.aggregate(
-            F.sequence(F.lit(0), F.size(m) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("s")),
-            lambda a, i: F.struct(
-                (a["at"] + F.get(gaps, i) + F.length(F.get(m, i))).alias("at"),
-                F.concat(a["s"], F.array(a["at"] + F.get(gaps, i))).alias("s"),
-            ),
-        )["s"]
+        # a match starts after its gap, and after all gaps and matches before that
+        steps = F.transform(m, lambda x, i: F.get(gaps, i) + F.length(x))
+        before = let(steps, lambda x: _running(x, lambda a, y: a + y, F.lit(0)))
+        sums = F.zip_with(before, F.slice(gaps, 1, F.size(m)), lambda at, gap: at + gap)
         rows = F.transform(
             F.arrays_zip(m.alias("m"), sums.alias("s")),
             lambda x: F.struct(
@@ -139,8 +161,14 @@ def _around(text: Column, spans: Column, width: int) -> Column:
         return F.when(F.size(found) > 0, rows).otherwise(F.array().cast("array<struct<t:string,start:int,stop:int>>"))
 
     def one(s: Column) -> Column:
-        back = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), s["start"])), reach, 1)
-        ahead = F.regexp_extract(F.substring(text, s["stop"] + 1, F.length(text)), reach, 1)
+        # what reaches the edge of the near text is looked for in the whole
+        def found(near: Column, whole: Column) -> Column:
+            return let(F.regexp_extract(near, reach, 1), lambda x: F.when(F.length(x) < near_by, x).otherwise(F.regexp_extract(whole, reach, 1)))
+
+        near_by = 24 * width
+        first = F.greatest(s["start"] - near_by, F.lit(0))
+        back = found(F.reverse(F.substring(text, first + 1, s["start"] - first)), F.reverse(F.substring(text, F.lit(1), s["start"])))
+        ahead = found(F.substring(text, s["stop"] + 1, F.lit(near_by)), F.substring(text, s["stop"] + 1, F.length(text)))
         before = let(F.reverse(back), lambda x: placed(x, s["start"] - F.length(x)))
         after = let(ahead, lambda x: placed(x, s["stop"]))
         whole = F.concat(F.filter(before, lambda w: w["stop"] < s["start"]), F.filter(after, lambda w: w["start"] > s["stop"]))
@@ -150,7 +178,7 @@ def _around(text: Column, spans: Column, width: int) -> Column:
 
 
 def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 3, width: int = 5) -> DataFrame:
-    """(doc_id, base, terms) for each row: spans of the patterns and of disclosing terms.
+    """(doc_id, th, base, terms) for each row: spans of the patterns and of disclosing terms; ``th`` is xxhash64 of the text.
 
     ``base`` is an array of (start, k, stop, value), ``terms`` one of (start, stop, term).
     """
@@ -172,7 +200,7 @@ def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 3, width: int
     total = docs.where("text is not null").select(F.xxhash64("text")).distinct().count()
     none = F.array().cast("array<struct<start:int,stop:int,term:string>>")
     if joint.isEmpty():
-        return spanned.select("doc_id", "base", none.alias("terms"))
+        return spanned.select("doc_id", "th", "base", none.alias("terms"))
 
     # in how many texts the terms occur that may disclose anything, over all documents
     asked = spill(joint.select("t").distinct(), "asked")
@@ -190,7 +218,7 @@ def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 3, width: int
     )
     hits = spill(hits.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "terms"), "terms")
     key = spanned["doc_id"].eqNullSafe(hits["d"]) & spanned["th"].eqNullSafe(hits["h"])
-    return spanned.join(small(hits), key, "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return spanned.join(hits, key, "left").select("doc_id", "th", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def named(spans: Column, kind) -> Column:
@@ -202,32 +230,31 @@ def kind_of(s: Column) -> Column:
 
 
 def sanitize(docs: DataFrame, generalise: bool = True, **how) -> DataFrame:
-    """``docs`` with its spans replaced by placeholders (or removed); the other columns stay."""
-    found = find_spans(docs, **how).dropDuplicates(["doc_id"])
+    """``docs`` with its spans replaced by placeholders (or removed); the other columns stay.
+
+    Spans belong to a row's own text: rows that share a doc_id are told by it.
+    """
+    found = find_spans(docs.select("doc_id", "text"), **how).dropDuplicates(["doc_id", "th"])
     spans = F.sort_array(
         F.concat(
             F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.upper(kind_of(s)).alias("k"))),
             F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit("TERM").alias("k"))),
         )
     )
-    found = found.select(F.col("doc_id").alias("__d"), spans.alias("__s"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("__d")), "left")
+    found = found.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), spans.alias("spans"))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.xxhash64("text").eqNullSafe(F.col("h")), "left")
     put = (lambda k: F.concat(F.lit("["), k, F.lit("]"))) if generalise else (lambda k: F.lit(""))
     text = F.col("text")
+    ends = F.transform("spans", lambda s: s["stop"])
+    before = let(ends, lambda x: _running(x, lambda a, y: F.greatest(a, y), F.lit(0)))
+
     # overlapping spans are taken as they come; what an earlier one covers is not put twice
-    done = F.aggregate(
-        "__s",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["stop"] <= a["at"], a).otherwise(
-            F.struct(
-                s["stop"].alias("at"),
-                F.concat(
-                    a["out"],
-                    F.when(s["start"] > a["at"], F.substring(text, a["at"] + 1, s["start"] - a["at"])).otherwise(F.lit("")),
-                    put(s["k"]),
-                ).alias("out"),
-            )
-        ),
-    )
-    whole = F.when(F.size("__s") > 0, let(done, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))).otherwise(text)
-    return joined.select(*[(whole if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    def piece(s: Column, at: Column) -> Column:
+        gap = F.when(s["start"] > at, F.substring(text, at + 1, s["start"] - at)).otherwise(F.lit(""))
+        return F.when(s["stop"] <= at, F.lit("")).otherwise(F.concat(gap, put(s["k"])))
+
+    pieces = F.array_join(F.zip_with("spans", before, piece), "")
+    whole = F.concat(pieces, F.substring(text, F.array_max(ends) + 1, F.length(text)))
+    clean = F.when(F.size("spans") > 0, whole).otherwise(text)
+    return joined.select(*[(clean if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
