@@ -65,6 +65,17 @@ def test_mutation_rules():
         assert folds.mutate(e, m)[2:4] == (status, revision), m
 
 
+def test_comparisons_do_not_ask_for_existence():
+    assert folds.mutate(folds.new_entry(), _m("SET", 1, cmp_rev=-1))[2:4] == ("Set", 0)
+    assert folds.mutate(folds.new_entry(), _m("SET", 1, cmp_rev=0))[2:4] == ("NotSet", -1)
+    assert folds.mutate(folds.new_entry(), _m("SET", 1, cmp_value=""))[2:4] == ("Set", 0)
+    assert folds.mutate(folds.new_entry(), _m("SET", 1, cmp_value="x"))[2:4] == ("NotSet", -1)
+    e = folds.new_entry()
+    folds.mutate(e, _m("SET", 1))
+    folds.mutate(e, _m("DELETE", 2))
+    assert folds.mutate(e, _m("SET", 3, cmp_rev=1))[2:4] == ("Set", 2)
+
+
 def test_lease_rules():
     k = folds.new_lock()
 
@@ -89,6 +100,43 @@ def test_sequences(spark):
     assert got == [("Allocated", 1, 1), ("Allocated", 2, 4), ("Allocated", 2, 4), ("InvalidInput", None, None), ("Allocated", 6, 14), ("Allocated", 15, 15)]
 
 
+def test_blocks_end_on_the_grid(spark):
+    from tidemark.schemas import SEQUENCE_REQUESTS
+
+    rows = [(1, "s", 1, None, 0), (2, "s", 3, None, 0), (3, "s", 1, None, 0)]
+    out = folds.allocate(spark.createDataFrame(rows, SEQUENCE_REQUESTS), increment=3, maximum=10, block=10).orderBy("seq").collect()
+    assert [(r["status"], r["first"], r["last"], r["reserved"]) for r in out] == [
+        ("Allocated", 3, 3, 9), ("MaxValueExceeded", None, None, 9), ("Allocated", 6, 6, 9)
+    ]
+
+
+def test_long_chains(spark):
+    rows = [(f"{c}{i:03d}", f"{c}{i - 1:03d}" if i else None) for c, n in (("a", 150), ("b", 1), ("c", 64)) for i in range(n)] + [("d", "lost")]
+    got = {(r["leaf_id"], r["backup_id"], r["depth"]) for r in retention.chains(spark, spark.createDataFrame(rows, "backup_id string, parent_id string")).collect()}
+    want = {(f"{c}{n - 1:03d}", f"{c}{i:03d}", n - 1 - i) for c, n in (("a", 150), ("b", 1), ("c", 64)) for i in range(n)} | {("d", "d", 0)}
+    assert got == want
+    with pytest.raises(ValueError):
+        retention.chains(spark, spark.createDataFrame([("x", "y"), ("y", "x")], "backup_id string, parent_id string"))
+
+
+def test_whole_numbers_are_64_bits_wide(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.columns import Typed, compile_expression
+
+    top = 2**63 - 1
+    frame = spark.createDataFrame([(top, 3), (-top - 1, -1), (7, -2), (None, 1)], "a long, b long")
+    env = {c: Typed("long", F.col(c)) for c in "ab"}
+    got = frame.where("b <> -1").select(*[compile_expression(f"a {op} b", env).col for op in ("+", "-", "*", "/")]).collect()
+
+    def wrap(x):
+        return (x + 2**63) % 2**64 - 2**63
+
+    assert [tuple(r) for r in got] == [
+        (wrap(top + 3), top - 3, wrap(top * 3), top // 3), (5, 9, -14, -3), (None, None, None, None)
+    ]
+
+
 @pytest.mark.parametrize(
     "script, value",
     [

@@ -74,13 +74,24 @@ def _binary(op: str, a: Typed, b: Typed) -> Typed:
     whole = a.kind == b.kind == "long"
     if op == "/":
         if whole:
-            left = (a.col - a.col % b.col) / b.col  # exact below 2**53; the remainder takes care of larger values
-            return Typed("long", left.cast("bigint"))
+            return Typed("long", F.call_function("div", a.col, b.col))
         x, y = a.col.cast("double"), b.col.cast("double")
         zero = F.when((x == 0) | F.isnan(x), F.lit(float("nan"))).when(x > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
         return Typed("double", F.when(y == 0, zero).otherwise(F.try_divide(x, y)))
-    x, y = (a.col, b.col) if whole else (a.col.cast("double"), b.col.cast("double"))
-    return Typed("long" if whole else "double", {"+": x + y, "-": x - y, "*": x * y}[op])
+    if whole:
+        return Typed("long", _wrapping(op, a.col, b.col))
+    x, y = a.col.cast("double"), b.col.cast("double")
+    return Typed("double", {"+": x + y, "-": x - y, "*": x * y}[op])
+
+
+def _wrapping(op: str, a: Column, b: Column) -> Column:
+    """64-bit arithmetic; a result beyond 64 bits wraps around."""
+    x, y = a.cast("decimal(19,0)"), b.cast("decimal(19,0)")
+    exact = {"+": x + y, "-": x - y, "*": x * y}[op].cast("decimal(38,0)")
+    size, half = F.lit(str(2**64)).cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(19,0)")
+    low = F.pmod(exact, size)
+    wrapped = F.when(low >= half, low - size).otherwise(low).cast("bigint")
+    return F.coalesce({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b), wrapped)
 
 
 def text(x: Typed) -> Column:

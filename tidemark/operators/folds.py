@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from .. import schemas
 
 
+#: The largest 64-bit value, where a sequence without a maximum ends.
+LAST = 2**63 - 1
+
+
 def fold(ops: DataFrame, key: str, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
     """``step(state, row)`` returns the result's columns after the key and may change the state."""
     names = [c.split()[0] for c in schema.split(",")]
@@ -50,8 +54,9 @@ def mutate(e: dict, m: dict) -> tuple:
         refused = (
             (m["nx"] and there)
             or (m["xx"] and not there)
-            or (m["cmp_value"] is not None and (not there or e["value"] != m["cmp_value"]))
-            or (m["cmp_rev"] is not None and (not there or e["revision"] != int(m["cmp_rev"])))
+            # neither asks whether the key exists: one that does not has no value, and revision -1 or that of its end
+            or (m["cmp_value"] is not None and ((there and e["value"]) or "") != m["cmp_value"])
+            or (m["cmp_rev"] is not None and e["revision"] != int(m["cmp_rev"]))
         )
         if refused:
             return result("NotSet")
@@ -139,10 +144,11 @@ def allocate(ops: DataFrame, initial: int = 0, increment: int = 1, maximum: int
         current, reserved = s["current"], s["reserved"]
         if current + increment * n > reserved:
             current, ceiling = reserved, reserved + max(block, n) * increment
-            if maximum is not None:
-                if current + increment * n > maximum:
-                    return seq, "MaxValueExceeded", None, None, s["reserved"]
-                ceiling = min(ceiling, maximum)
+            limit = LAST if maximum is None else maximum
+            if current + increment * n > limit:
+                return seq, "MaxValueExceeded", None, None, s["reserved"]
+            if ceiling > limit:  # the last whole step
+                ceiling = current + increment * ((limit - current) // increment)
             reserved = ceiling
         first, last = current + increment, current + increment * n
         s.update(current=last, reserved=reserved)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from . import reads
 
 
@@ -105,15 +106,23 @@ def index_at(log: DataFrame, at_l: int, index: str = "idx") -> DataFrame:
 
 def chains(spark: SparkSession, manifests: DataFrame) -> DataFrame:
     """(leaf_id, backup_id, depth): every backup that each leaf needs, itself at depth 0."""
-    manifests.createOrReplaceTempView("__manifests")
-    return spark.sql(
-        """WITH RECURSIVE up(leaf_id, backup_id, parent_id, depth) AS (
-             SELECT backup_id, backup_id, parent_id, 0 FROM __manifests m
-             WHERE NOT EXISTS (SELECT 1 FROM __manifests c WHERE c.parent_id = m.backup_id)
-             UNION ALL
-             SELECT up.leaf_id, m.backup_id, m.parent_id, up.depth + 1 FROM up JOIN __manifests m ON m.backup_id = up.parent_id)
-           SELECT leaf_id, backup_id, depth FROM up"""
-    )
+    known = manifests.select(F.col("backup_id").alias("node"))
+    up = manifests.where("parent_id is not null").select(F.col("backup_id").alias("node"), F.col("parent_id").alias("top"))
+    leaves = known.join(up.select(F.col("top").alias("node")).distinct(), "node", "left_anti")
+    # jumps of 1, 2, 4, ... steps; a parent that has no manifest ends its chain
+    jumps = [written(up.join(known.withColumnRenamed("node", "top"), "top", "left_semi").select("node", "top"), "jump")]
+    most = manifests.count()
+    while not jumps[-1].isEmpty():
+        if 1 << (len(jumps) - 1) > most:
+            raise ValueError("backups are their own ancestors")
+        last = jumps[-1]
+        jumps.append(written(last.join(last.toDF("top", "next"), "top").select("node", F.col("next").alias("top")), "jump"))
+    # a depth is a sum of different jumps: the largest first, every leaf meets each of its ancestors once
+    found = leaves.select(F.col("node").alias("leaf_id"), F.col("node").alias("backup_id"), F.lit(0).alias("depth"))
+    for k in reversed(range(len(jumps) - 1)):
+        far = found.join(jumps[k].withColumnRenamed("node", "backup_id"), "backup_id")
+        found = written(found.unionByName(far.select("leaf_id", F.col("top").alias("backup_id"), (F.col("depth") + (1 << k)).alias("depth"))), "chains")
+    return found
 
 
 def broken_chains(manifests: DataFrame) -> DataFrame:

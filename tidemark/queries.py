@@ -34,10 +34,10 @@ _WITH = {
   FROM (SELECT 'users/' || lpad(CAST(l_partkey % 300 AS VARCHAR), 6, '0') AS key, max(l_orderkey) AS txn_id FROM lineitem GROUP BY 1))""",
     "X": """X AS (SELECT DISTINCT l_orderkey AS txn_id, 'users/' || lpad(CAST(l_suppkey % 200 AS VARCHAR), 6, '0') AS key, l_linenumber % 4 <> 0 AS existed,
   CAST(l_linenumber AS BIGINT) AS revision FROM lineitem)""",
-    "K": f"""K AS (SELECT o_orderkey AS txn_id, 'space/' || CAST(o_custkey % 40 AS VARCHAR) AS bucket,
-  CASE WHEN o_orderkey % 60 <> 0 THEN lpad(CAST(o_custkey % 1000 AS VARCHAR), 6, '0') END AS start_key, o_orderkey % 40 = 0 AS start_incl,
-  CASE WHEN o_orderkey % 100 <> 0 THEN lpad(CAST(o_custkey % 1000 + o_orderkey % 30 + 1 AS VARCHAR), 6, '0') END AS end_key, o_orderkey % 80 = 0 AS end_incl,
-  CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE 'S' END AS mode, {_MS['orders']} AS expires_l FROM orders WHERE o_orderkey % 20 = 0)""",
+    "K": f"""K AS (SELECT o_orderkey AS txn_id, 'space/' || CAST(o_custkey // 10 AS VARCHAR) AS bucket,
+  CASE WHEN o_orderkey % 61 <> 0 THEN lpad(CAST(o_orderkey % 1000 AS VARCHAR), 6, '0') END AS start_key, o_orderkey % 2 = 0 AS start_incl,
+  CASE WHEN o_orderkey % 101 <> 0 THEN lpad(CAST(o_orderkey % 1000 + o_orderkey % 30 + 1 AS VARCHAR), 6, '0') END AS end_key, o_orderkey % 4 = 0 AS end_incl,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE 'S' END AS mode, {_MS['orders']} AS expires_l FROM orders)""",
     "M": """M AS (SELECT key_space, cut AS start_key, lead(cut) OVER (PARTITION BY key_space ORDER BY cut NULLS FIRST) AS end_key,
   CAST(row_number() OVER (PARTITION BY key_space ORDER BY cut NULLS FIRST) AS INT) AS partition_id, CAST(1 AS BIGINT) AS generation
   FROM (SELECT 'orders/' || o_orderpriority AS key_space, 'orders/' || o_orderpriority || '/' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS cut
@@ -258,11 +258,11 @@ def safe_snapshot_time(spark, d):
     return retention.safe_time(i.where("resolution = 'Pending'"), i.where("resolution = 'Committed'"))
 
 
-_MAN = "(SELECT o_orderkey AS backup_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey - 1 END AS parent_id, CASE WHEN o_orderkey % 7 <> 0 THEN 'incremental' ELSE 'full' END AS type, o_orderkey * 10 AS first_index, o_orderkey * 10 + 9 + o_orderkey % 3 // 2 AS last_index FROM orders WHERE o_orderkey BETWEEN 1 AND 200)"
+_MAN = "(SELECT o_orderkey AS backup_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey - 1 END AS parent_id, CASE WHEN o_orderkey % 7 <> 0 THEN 'incremental' ELSE 'full' END AS type, o_orderkey * 10 AS first_index, o_orderkey * 10 + 9 + o_orderkey % 3 // 2 AS last_index FROM orders)"
 
 
 def _manifests(spark, d):
-    return enc.table(spark, d, "orders").where("o_orderkey between 1 and 200").selectExpr(
+    return enc.table(spark, d, "orders").selectExpr(
         "o_orderkey as backup_id", "case when o_orderkey % 7 <> 0 then o_orderkey - 1 end as parent_id", "case when o_orderkey % 7 <> 0 then 'incremental' else 'full' end as type",
         "o_orderkey * 10 as first_index", "o_orderkey * 10 + 9 + (o_orderkey % 3) div 2 as last_index",
     )
@@ -469,20 +469,25 @@ def lock_conflicts_sx(spark, d):
 
 @_query(
     "keys_under_locks",
-    f"""SELECT c.bucket, c.key, K.txn_id, K.mode FROM (SELECT 'space/' || CAST(c_custkey % 40 AS VARCHAR) AS bucket, lpad(CAST(c_custkey % 1000 AS VARCHAR), 6, '0') AS key FROM customer) c JOIN K ON c.bucket = K.bucket AND expires_l > {_CUT}
+    f"""SELECT c.bucket, c.key, K.txn_id, K.mode FROM (SELECT 'space/' || CAST(c_custkey // 10 AS VARCHAR) AS bucket, lpad(CAST(c_custkey % 1000 AS VARCHAR), 6, '0') AS key FROM customer) c JOIN K ON c.bucket = K.bucket AND expires_l > {_CUT}
 AND (start_key IS NULL OR c.key > start_key OR (start_incl AND c.key = start_key)) AND (end_key IS NULL OR c.key < end_key OR (end_incl AND c.key = end_key))""",
     "K",
 )
 def keys_under_locks(spark, d):
-    keys = enc.table(spark, d, "customer").selectExpr("concat('space/', cast(c_custkey % 40 as string)) as bucket", "lpad(cast(c_custkey % 1000 as string), 6, '0') as key")
+    keys = enc.table(spark, d, "customer").selectExpr("concat('space/', cast(c_custkey div 10 as string)) as bucket", "lpad(cast(c_custkey % 1000 as string), 6, '0') as key")
     return visibility.covered(keys, visibility.live_ranges(enc.order_ranges(spark, d), _CUT))
 
 
-@_query("commit_conflicts", "SELECT DISTINCT x.txn_id, x.key, 'intent' AS cause FROM X x JOIN I i ON x.key = i.key WHERE i.resolution = 'Pending' AND i.txn_id <> x.txn_id", "XI")
+@_query(
+    "commit_conflicts",
+    f"""SELECT x.txn_id, x.key, 'intent' AS cause FROM X x JOIN I i ON x.key = i.key WHERE i.resolution = 'Pending' AND i.txn_id <> x.txn_id
+UNION SELECT w.txn_id, w.key, 'range lock' FROM (SELECT l_orderkey AS txn_id, 'space/' || CAST(l_suppkey % 100 AS VARCHAR) AS bucket, lpad(CAST(l_partkey % 1000 AS VARCHAR), 6, '0') AS key FROM lineitem WHERE l_returnflag = 'R') w
+JOIN K ON w.bucket = K.bucket AND w.txn_id <> K.txn_id AND expires_l > {_CUT} AND (start_key IS NULL OR w.key > start_key OR (start_incl AND w.key = start_key)) AND (end_key IS NULL OR w.key < end_key OR (end_incl AND w.key = end_key))""",
+    "XIK",
+)
 def commit_conflicts(spark, d):
-    r = enc.lineitem_reads(spark, d)
-    none = r.where("false").withColumn("bucket", F.lit(""))
-    return visibility.commit_conflicts(r, none, enc.lineitem_intents(spark, d), enc.order_ranges(spark, d), _CUT)
+    locks = enc.order_ranges(spark, d)
+    return visibility.commit_conflicts(enc.lineitem_reads(spark, d), enc.lineitem_writes(spark, d), enc.lineitem_intents(spark, d), locks, _CUT)
 
 
 @_query(

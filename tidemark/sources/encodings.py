@@ -110,18 +110,27 @@ def lineitem_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range locks of orders on user keys: start, end, bounds and mode by the order's key."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey as txn_id",
-        "concat('space/', cast(o_custkey % 40 as string)) as bucket",
-        "case when o_orderkey % 60 <> 0 then lpad(cast(o_custkey % 1000 as string), 6, '0') end as start_key",
-        "o_orderkey % 40 = 0 as start_incl",
-        "case when o_orderkey % 100 <> 0 then lpad(cast(o_custkey % 1000 + o_orderkey % 30 + 1 as string), 6, '0') end as end_key",
-        "o_orderkey % 80 = 0 as end_incl",
+        "concat('space/', cast(o_custkey div 10 as string)) as bucket",
+        "case when o_orderkey % 61 <> 0 then lpad(cast(o_orderkey % 1000 as string), 6, '0') end as start_key",
+        "o_orderkey % 2 = 0 as start_incl",
+        "case when o_orderkey % 101 <> 0 then lpad(cast(o_orderkey % 1000 + o_orderkey % 30 + 1 as string), 6, '0') end as end_key",
+        "o_orderkey % 4 = 0 as end_incl",
         "case when o_orderkey % 3 = 0 then 'X' else 'S' end as mode",
         "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate) as expires_l",
     )
 
 
+def lineitem_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write sets: an order writes the keys of its returned lines, in the buckets of the range locks."""
+    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").selectExpr(
+        "l_orderkey as txn_id",
+        "concat('space/', cast(l_suppkey % 100 as string)) as bucket",
+        "lpad(cast(l_partkey % 1000 as string), 6, '0') as key",
+    ).distinct()
+
+
 def order_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range map over order keys: one key space for each priority, cut at every 2,000th order."""
     cuts = table(spark, sf_dir, "orders").where("o_orderkey % 2000 = 0").selectExpr(

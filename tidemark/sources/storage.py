@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,18 @@ def read_log(spark: SparkSession, path: str, bucket: str | None = None, shards:
     return log.drop("shard")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written to the folder that the cluster shares, so that what follows does not compute it again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:  # a single machine, as in tests
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def upsert(log: DataFrame, more: DataFrame) -> DataFrame:
     """The rows of ``more`` replace those of ``log`` with their key and revision."""
     both = log.withColumn("__n", F.lit(0)).unionByName(more.withColumn("__n", F.lit(1)))
