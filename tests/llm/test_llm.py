@@ -377,6 +377,34 @@ def test_quality_measures(hard, docs):
         assert all(not r["kept"] for r in rows if r["base_failed"])
 
 
+def test_verdicts_by_brute_force(spark, docs):
+    """Every rule recomputed in plain Python; no column of the table gets lost."""
+
+    def kept(t):
+        t = t or ""
+        w = _words(t)
+        g = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        rep = len({j for i in range(len(w) - 4) if g[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)})
+        lines = [x for x in t.split("\n") if _words(x)]
+        chars = sum(map(len, w))
+        letters = sum(any(c.isalpha() for c in x) for x in w)
+        upper = sum(c.isupper() for c in t)
+        rules = (
+            len(w) < 10, 100 * rep > 20 * len(w), 10 * len(re.findall(r"[#*$%&|<>]", t)) > len(w), chars < 2 * len(w) or chars > 15 * len(w),
+            2 * (len(lines) - len(set(lines))) > len(lines), 2 * letters < len(w), 10 * upper > 6 * chars,
+        )
+        return not any(rules)
+
+    made = [(9001, "A" * 12 + " BCD" * 20), (9002, " ".join(f"w{i}" for i in range(20)) + " ### $$$"), (9003, " ".join(str(i) for i in range(40))), (9004, " ".join("x" * 18 + str(i) for i in range(20)))]
+    frame = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    frame = frame.withColumns({c: F.lit("own") for c in ("__words", "__text", "words", "whole", "row", "kept")})
+    out = quality.cascade(frame)
+    rows = out.collect()
+    assert {r["doc_id"]: r["kept"] for r in rows} == {r["doc_id"]: kept(r["text"]) for r in frame.collect()}
+    assert all(r["words"] == r["whole"] == r["__words"] == r["row"] == "own" for r in rows)
+    assert {r["kept"] for r in quality.filter_quality(frame).collect()} == {"own"}
+
+
 def test_rule_order_never_changes_the_verdict(docs):
     a = quality.cascade(docs, quality.RULES).select("doc_id", "kept")
     b = quality.cascade(docs, tuple(reversed(quality.RULES)), sample_rows=20).select("doc_id", "kept")
