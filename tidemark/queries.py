@@ -286,9 +286,9 @@ def broken_chains(spark, d):
     return retention.broken_chains(_manifests(spark, d))
 
 
-@_query("orphans", f"WITH m AS {_MAN} SELECT c_custkey AS backup_id FROM customer WHERE c_custkey NOT IN (SELECT backup_id FROM m)")
+@_query("orphans", f"WITH m AS {_MAN} SELECT c_custkey * 13 AS backup_id FROM customer WHERE c_custkey * 13 NOT IN (SELECT backup_id FROM m)")
 def orphans(spark, d):
-    return retention.orphans(enc.table(spark, d, "customer").selectExpr("c_custkey as backup_id"), _manifests(spark, d))
+    return retention.orphans(enc.table(spark, d, "customer").selectExpr("c_custkey * 13 as backup_id"), _manifests(spark, d))
 
 
 @_query("route_range", "SELECT O.key, O.bucket AS key_space, partition_id, generation FROM O LEFT JOIN M ON O.bucket = M.key_space AND (start_key IS NULL OR key >= start_key) AND (end_key IS NULL OR key < end_key)", "OM")
