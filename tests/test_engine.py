@@ -4,7 +4,7 @@ import pytest
 
 from tidemark import queries as q
 from tidemark.functions.language import ScriptError, footprint, parse
-from tidemark.operators import folds, ranges, reads, retention, scans
+from tidemark.operators import folds, ranges, reads, retention, scans, visibility
 from tidemark.plans.scripts import Session
 from tidemark.sources import encodings as enc
 from tidemark.sources import storage
@@ -266,3 +266,36 @@ def test_language_refuses():
     for bad in ("set", "let = 1", "if true then", "for x in 1..2 do"):
         with pytest.raises(ScriptError):
             parse(bad)
+
+
+def test_locked_buckets_mark_their_free_keys(spark):
+    granted = spark.createDataFrame([("b", 1, "Locked"), ("c", 2, "AlreadyLocked")], "bucket string, holder long, status string")
+    keys = spark.createDataFrame([("b/1", "b"), ("b/2", "b"), ("b/3", "b"), ("c/1", "c")], "key string, bucket string")
+    held = spark.createDataFrame([("b/1", 7, 99), ("b/2", 7, 100), ("b/3", 7, None)], "key string, txn_id long, expires_l long")
+    assert [tuple(r) for r in visibility.stamped(granted, keys, held, 99).collect()] == [("b/1", 1)]
+    assert visibility.stamped(granted, keys, held.where("false"), 99).count() == 3
+
+
+def test_key_locks_by_rule(spark):
+    asked = spark.createDataFrame(
+        [(1, 0, "a", 5), (2, 4, "a", -1), (3, 5, "a", 0), (4, 6, "a", 9), (5, 5, "a", 7), (6, 8, "b", 1), (7, 9, "b", 1)], "seq long, txn_id long, key string, expires_ms long"
+    )
+    held = spark.createDataFrame([("a", 3, 10), ("b", 9, None)], "key string, txn_id long, expires_l long")
+    got = {r.seq: (r.status, r.expires_l) for r in visibility.acquire(asked, held, 10).collect()}
+    assert got == {
+        1: ("Errored", None), 2: ("Errored", None), 3: ("Locked", None), 4: ("AlreadyLocked", None), 5: ("Locked", 17),
+        6: ("AlreadyLocked", None), 7: ("Locked", 11),
+    }
+
+
+def test_idempotency_pruning_rules(spark):
+    rows = [("s", k, t, p) for k, t, p in [("a", 1, True), ("b", 2, False), ("c", 3, False), ("d", 4, False), ("e", 4, False)]]
+    entries = spark.createDataFrame(rows, "name string, idempotency_key string, created_l long, protected boolean")
+
+    def kept(*how):
+        return sorted(r.idempotency_key for r in retention.prune_idempotency(entries, *how).collect())
+
+    assert kept(10, 0, 0) == list("abcde")
+    assert kept(10, 0, 8) == list("acde")  # as old as the lifetime is too old
+    assert kept(10, 2, 0) == list("ae")  # the protected one takes its place
+    assert kept(10, 3, 7) == list("ade")

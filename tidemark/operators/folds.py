@@ -157,3 +157,27 @@ def allocate(ops: DataFrame, initial: int = 0, increment: int = 1, maximum: int
         return seq, "Allocated", first, last, reserved
 
     return fold(ops, "name", ["seq"], begin, step, schemas.SEQUENCE_RESULT)
+
+
+def sequence_records(results: DataFrame) -> DataFrame:
+    """(name, current, reserved): what a sequence's record holds after these allocations."""
+    from pyspark.sql import functions as F
+
+    return results.where("status = 'Allocated'").groupBy("name").agg(F.max("last").alias("current"), F.max("reserved").alias("reserved"))
+
+
+def get_sequences(records: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, status, current, reserved) for each name: Got or NotFound."""
+    from pyspark.sql import functions as F
+
+    out = names.select("name").join(records, "name", "left")
+    return out.select("name", F.when(F.col("current").isNotNull(), "Got").otherwise("NotFound").alias("status"), "current", "reserved")
+
+
+def delete_sequences(records: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, status) for each name, Deleted or NotFound, and the records that are left."""
+    from pyspark.sql import functions as F
+
+    there = records.select("name", F.lit(True).alias("there"))
+    out = names.select("name").join(there, "name", "left").select("name", F.when(F.col("there"), "Deleted").otherwise("NotFound").alias("status"))
+    return out, records.join(names.select("name"), "name", "left_anti")

@@ -154,3 +154,59 @@ def heavy_hitters(writes: DataFrame, k: int) -> DataFrame:
 def decay(counts: DataFrame, elapsed: int) -> DataFrame:
     """Counts after so many halvings; keys at 0 go."""
     return counts.withColumn("n", F.shiftright("n", min(elapsed, 63))).where("n > 0")
+
+
+#: The generation of a key space's first descriptor.
+FIRST_GENERATION = 1
+
+
+def route(keys: DataFrame, spaces: DataFrame, ranges: DataFrame, pool: int) -> DataFrame:
+    """(key, key_space, mode, partition_id, generation, covered): by range in the registered ``spaces``, by hash elsewhere.
+
+    A key's space is all before its last slash, or the whole key.  A key of a
+    registered space that no descriptor holds is not covered.
+    """
+    space = F.when(F.contains("key", F.lit("/")), F.regexp_replace("key", "/[^/]*$", "")).otherwise(F.col("key"))
+    mine = keys.select("key", space.alias("bucket"))
+    names = spaces.select(F.col("key_space").alias("bucket")).distinct()
+    by_range = route_range(mine.join(names, "bucket", "left_semi"), ranges)
+    by_hash = route_hash(mine.join(names, "bucket", "left_anti"), pool)
+    ranged = by_range.select("key", "key_space", F.lit("range").alias("mode"), "partition_id", "generation", F.col("partition_id").isNotNull().alias("covered"))
+    return ranged.unionByName(
+        by_hash.select("key", F.col("bucket").alias("key_space"), F.lit("hash").alias("mode"), "partition_id", F.lit(0).cast("long").alias("generation"), F.lit(True).alias("covered"))
+    )
+
+
+def register_spaces(ranges: DataFrame, spaces: DataFrame) -> DataFrame:
+    """The map with one open range for each (key_space, partition_id) that it does not have yet."""
+    new = spaces.dropDuplicates(["key_space"]).join(ranges.select("key_space"), "key_space", "left_anti")
+    return ranges.unionByName(
+        new.select(
+            "key_space",
+            F.lit(None).cast("string").alias("start_key"),
+            F.lit(None).cast("string").alias("end_key"),
+            F.col("partition_id").cast("int").alias("partition_id"),
+            F.lit(FIRST_GENERATION).cast("long").alias("generation"),
+        )
+    )
+
+
+def remove_spaces(ranges: DataFrame, names: DataFrame, quiesced: DataFrame | None = None) -> DataFrame:
+    """The map without the named key spaces; those that end in ``/meta`` or have a quiesced range stay."""
+    gone = names.where(~F.endswith("key_space", F.lit("/meta")))
+    if quiesced is not None:
+        gone = gone.join(quiesced.select("key_space"), "key_space", "left_anti")
+    return ranges.join(gone.select("key_space"), "key_space", "left_anti").select(*ranges.columns)
+
+
+def list_spaces(ranges: DataFrame) -> DataFrame:
+    """(key_space, ranges, generation): the registered key spaces, with their newest generation."""
+    return ranges.groupBy("key_space").agg(F.count("*").alias("ranges"), F.max("generation").alias("generation"))
+
+
+def child_counts(counts: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """The write counts above 0 of keys in [start, end), as a split's child takes them over."""
+    out = counts.where("n > 0")
+    if start is not None:
+        out = out.where(F.col("key") >= start)
+    return out if end is None else out.where(F.col("key") < end)

@@ -58,3 +58,9 @@ def overlay_own(log_head: DataFrame, own: DataFrame) -> DataFrame:
     mine = own.select("key", "revision", "value", "state")
     rest = log_head.select("key", "revision", "value", "state").join(mine.select("key"), "key", "left_anti")
     return rest.union(mine).where("state = 'Set'")
+
+
+def exists_at(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """Whether each requested (key, revision) was written, whatever its state and expiry since."""
+    there = log.select("key", "revision", F.lit(True).alias("hit")).distinct()
+    return requests.select("key", "revision").join(there, ["key", "revision"], "left").select("key", "revision", F.coalesce("hit", F.lit(False)).alias("found"))

@@ -170,3 +170,35 @@ def plan_chains(rows: list[dict], now_l: int, max_chains: int | None = None, max
 
 def orphans(artifacts: DataFrame, manifests: DataFrame) -> DataFrame:
     return artifacts.join(manifests.select("backup_id"), "backup_id", "left_anti")
+
+
+def prune_idempotency(entries: DataFrame, now_l: int, cap: int, ttl_ms: int) -> DataFrame:
+    """The idempotency entries (name, idempotency_key, created_l, protected) that stay.
+
+    Entries as old as the lifetime go first, then the oldest beyond ``cap`` in
+    each sequence, the lesser key first among equals; a protected entry stays.
+    A lifetime or cap of 0 does not prune.
+    """
+    out = entries
+    if ttl_ms > 0 and now_l > 0:
+        out = out.where(F.col("protected") | (F.col("created_l") > now_l - ttl_ms))
+    if cap <= 0:
+        return out
+    safe = out.where("protected")
+    room = safe.groupBy("name").agg(F.count("*").alias("__safe"))
+    newest = Window.partitionBy("name").orderBy(F.desc("created_l"), F.desc("idempotency_key"))
+    # the bare cap cuts the ranking off before the shuffle; the room that protected entries leave is less
+    rest = out.where("not protected").withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= cap)
+    rest = rest.join(room, "name", "left").where(F.col("__n") <= cap - F.coalesce("__safe", F.lit(0)))
+    return safe.unionByName(rest.select(*entries.columns))
+
+
+def backup_starts(partitions: DataFrame, marks: DataFrame, floors: DataFrame) -> DataFrame:
+    """(part, start, full_needed): where each partition's increment begins.
+
+    After its parent's high-water mark, or for a new partition at the compaction
+    floor or 1; what lies below the floor is gone, which calls for a full backup.
+    """
+    out = partitions.select("part").join(marks.select("part", "high"), "part", "left").join(floors.select("part", "floor"), "part", "left")
+    start = F.coalesce(F.col("high") + 1, F.col("floor"), F.lit(1)).cast("long")
+    return out.withColumn("start", start).select("part", "start", F.coalesce(F.col("start") < F.col("floor"), F.lit(False)).alias("full_needed"))

@@ -106,3 +106,45 @@ def priority_order(waiting: DataFrame, now_l: int, threshold_ms: int, high: int
     aged = F.least(F.greatest(F.lit(high), "priority"), F.col("priority") + F.floor((F.lit(now_l) - F.col("since_l")) / threshold_ms))
     effective = aged.cast("long")
     return waiting.withColumn("effective", effective).selectExpr("seq", "effective", "cast(row_number() over (order by effective desc, seq) as bigint) as place")
+
+
+def must_validate(transactions: DataFrame) -> DataFrame:
+    """The transactions whose reads are validated before they commit: all optimistic ones, others if they ask for it."""
+    return transactions.where((F.col("locking") == "Optimistic") | (F.col("read_validation") == "TrackAndValidate"))
+
+
+def acquire(requests: DataFrame, held: DataFrame, now_l: int, on: str = "key") -> DataFrame:
+    """(seq, txn_id, ``on``, status, holder, expires_l): exclusive locks on keys or buckets, asked for at one time.
+
+    ``requests`` has seq, txn_id, expires_ms and the column ``on``; ``held`` has
+    ``on``, txn_id and expires_l.  A lock that has not ended keeps its holder,
+    who may renew it; a free one goes to the first valid request.  A request
+    without a transaction or with a negative lease is Errored, and a lease of 0
+    never ends.
+    """
+    valid = F.coalesce((F.col("txn_id") != 0) & (F.col("expires_ms") >= 0), F.lit(False))
+    live = live_ranges(held, now_l).select(on, F.col("txn_id").alias("live"))
+    # one row for each lock, so that many requests for one lock are combined before they are shuffled
+    first = requests.where(valid).groupBy(on).agg(F.min_by("txn_id", "seq").alias("first"))
+    out = requests.join(live, on, "left").join(first, on, "left").withColumn("holder", F.coalesce("live", "first"))
+    status = F.when(~valid, "Errored").when(F.col("holder") == F.col("txn_id"), "Locked").otherwise("AlreadyLocked")
+    end = F.when((F.col("status") == "Locked") & (F.col("expires_ms") > 0), F.lit(now_l) + F.col("expires_ms"))
+    return out.withColumn("status", status).select("seq", "txn_id", on, "status", "holder", end.cast("long").alias("expires_l"))
+
+
+def acquire_prefixes(requests: DataFrame, held: DataFrame, ranges: DataFrame, now_l: int) -> DataFrame:
+    """As ``acquire``, for whole buckets; one that lies in several ranges is Unsupported."""
+    split = ranges.groupBy(F.col("key_space").alias("bucket")).agg((F.count("*") > 1).alias("split"))
+    whole = requests.join(split.where("split"), "bucket", "left_anti")
+    refused = requests.join(split.where("split"), "bucket").select(
+        "seq", "txn_id", "bucket", F.lit("Unsupported").alias("status"), F.lit(None).cast("long").alias("holder"), F.lit(None).cast("long").alias("expires_l")
+    )
+    return acquire(whole, held, now_l, "bucket").withColumn("holder", F.col("holder").cast("long")).unionByName(refused)
+
+
+def stamped(granted: DataFrame, keys: DataFrame, held: DataFrame, now_l: int) -> DataFrame:
+    """(key, txn_id): the keys of locked buckets that the lock marks; a key that another transaction holds stays with it."""
+    own = granted.where("status = 'Locked'").select("bucket", F.col("holder").alias("txn_id")).distinct()
+    live = live_ranges(held, now_l).select("key", F.col("txn_id").alias("other"))
+    out = keys.join(own, "bucket").join(live, "key", "left")
+    return out.where("other is null or other = txn_id").select("key", "txn_id")

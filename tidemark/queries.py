@@ -107,6 +107,11 @@ def kv_exists_many(spark, d):
     return reads.exists(enc.events_log(spark, d), _asked(spark, d), now_l=NOW)
 
 
+@_query("kv_exists_at_rev", f"SELECT a.key, CAST(a.asked AS BIGINT) AS revision, l.key IS NOT NULL AS found FROM {_ASKED} a LEFT JOIN L l ON a.key = l.key AND a.asked = l.revision WHERE asked IS NOT NULL", "L")
+def kv_exists_at_rev(spark, d):
+    return reads.exists_at(enc.events_log(spark, d), _asked(spark, d).where("revision is not null"))
+
+
 @_query("kv_exists_as_of", f"SELECT a.key, h.key IS NOT NULL AS found, coalesce(h.revision, -1) AS revision FROM {_ASKED} a LEFT JOIN {_ASOF} h USING (key)", "L")
 def kv_exists_as_of(spark, d):
     return reads.exists(enc.events_log(spark, d), _asked(spark, d), T, NOW)
@@ -602,3 +607,135 @@ def script_set_mode(spark, d):
 def script_sum_range(spark, d):
     out = scripts.Session(None, NOW).run("let s = 0 for i in 1..10 do let s = s + i end return s")
     return spark.createDataFrame([(str(out.value),)], "value string")
+
+
+@_query(
+    "txns_to_validate",
+    "SELECT o_orderkey AS txn_id FROM orders WHERE o_custkey % 3 = 0 OR o_orderpriority = '1-URGENT'",
+)
+def txns_to_validate(spark, d):
+    txns = enc.table(spark, d, "orders").selectExpr(
+        "o_orderkey as txn_id",
+        "case when o_custkey % 3 = 0 then 'Optimistic' else 'Pessimistic' end as locking",
+        "case when o_orderpriority = '1-URGENT' then 'TrackAndValidate' else 'None' end as read_validation",
+    )
+    return visibility.must_validate(txns).select("txn_id")
+
+
+def _acquired(requests: str, held: str, on: str) -> str:
+    """SQL of ``visibility.acquire`` over two relations."""
+    valid = "txn_id <> 0 AND expires_ms >= 0"
+    return f"""SELECT seq, txn_id, {on}, status, holder, CASE WHEN status = 'Locked' AND expires_ms > 0 THEN {_CUT} + expires_ms END AS expires_l FROM (
+SELECT r.*, coalesce(h.txn_id, f.txn_id) AS holder, CASE WHEN NOT (r.txn_id <> 0 AND r.expires_ms >= 0) THEN 'Errored' WHEN r.txn_id = coalesce(h.txn_id, f.txn_id) THEN 'Locked' ELSE 'AlreadyLocked' END AS status
+FROM {requests} r LEFT JOIN (SELECT * FROM {held} WHERE expires_l IS NULL OR expires_l > {_CUT}) h USING ({on})
+LEFT JOIN (SELECT {on}, arg_min(txn_id, seq) AS txn_id FROM {requests} WHERE {valid} GROUP BY 1) f USING ({on}))"""
+
+
+_ENDS = f"CASE WHEN {{0}} % 11 <> 0 THEN {_CUT} + ({{0}} % 7 - 3) * 1000 END"
+
+
+@_query(
+    "key_locks",
+    f"""SELECT * FROM (WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS seq, l_orderkey % 50 AS txn_id, 'part/' || CAST(l_partkey AS VARCHAR) AS key, CAST(l_linenumber - 2 AS BIGINT) * 1000 AS expires_ms FROM lineitem),
+h AS (SELECT 'part/' || CAST(p_partkey * 2 AS VARCHAR) AS key, p_partkey % 50 AS txn_id, {_ENDS.format("p_partkey")} AS expires_l FROM part)
+{_acquired("r", "h", "key")})""",
+)
+def key_locks(spark, d):
+    asked = enc.table(spark, d, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber as seq", "l_orderkey % 50 as txn_id", "concat('part/', cast(l_partkey as string)) as key", "cast(l_linenumber - 2 as bigint) * 1000 as expires_ms"
+    )
+    held = enc.table(spark, d, "part").selectExpr("concat('part/', cast(p_partkey * 2 as string)) as key", "p_partkey % 50 as txn_id", f"{_ENDS.format('p_partkey')} as expires_l")
+    return visibility.acquire(asked, held, _CUT)
+
+
+_BUCKET = "CASE WHEN o_orderkey % 2 = 0 THEN 'orders/' || o_orderpriority ELSE 'space/' || CAST(o_custkey {0} 10 AS {1}) END"
+
+
+@_query(
+    "prefix_locks",
+    f"""SELECT * FROM (WITH {_WITH["M"]}, q AS (SELECT o_orderkey AS seq, o_custkey % 20 AS txn_id, {_BUCKET.format("//", "VARCHAR")} AS bucket, CAST(o_orderkey % 5 - 1 AS BIGINT) * 1000 AS expires_ms FROM orders),
+h AS (SELECT 'space/' || CAST(c_custkey // 10 AS VARCHAR) AS bucket, max(c_custkey) % 20 AS txn_id, {_ENDS.format("max(c_custkey)")} AS expires_l FROM customer GROUP BY 1),
+s AS (SELECT key_space FROM M GROUP BY 1 HAVING count(*) > 1), r AS (SELECT * FROM q WHERE bucket NOT IN (SELECT key_space FROM s))
+{_acquired("r", "h", "bucket")} UNION ALL SELECT seq, txn_id, bucket, 'Unsupported', NULL, NULL FROM q WHERE bucket IN (SELECT key_space FROM s))""",
+)
+def prefix_locks(spark, d):
+    asked = enc.table(spark, d, "orders").selectExpr(
+        "o_orderkey as seq", "o_custkey % 20 as txn_id", f"{_BUCKET.format('div', 'STRING')} as bucket", "cast(o_orderkey % 5 - 1 as bigint) * 1000 as expires_ms"
+    )
+    held = enc.table(spark, d, "customer").groupBy(F.expr("concat('space/', cast(c_custkey div 10 as string))").alias("bucket")).agg(F.max("c_custkey").alias("k"))
+    held = held.selectExpr("bucket", "k % 20 as txn_id", f"{_ENDS.format('k')} as expires_l")
+    return visibility.acquire_prefixes(asked, held, enc.order_map(spark, d), _CUT)
+
+
+@_query(
+    "route_by_mode",
+    """SELECT O.key, O.bucket AS key_space, 'range' AS mode, partition_id, generation, partition_id IS NOT NULL AS covered
+FROM O LEFT JOIN M ON O.bucket = M.key_space AND end_key IS NOT NULL AND (start_key IS NULL OR O.key >= start_key) AND O.key < end_key
+UNION ALL SELECT key, bucket, 'hash', NULL, 0, TRUE FROM L""",
+    "OML",
+)
+def route_by_mode(spark, d):
+    known = enc.order_map(spark, d)
+    keys = enc.orders_log(spark, d).select("key").union(enc.events_log(spark, d).select("key"))
+    out = ranges.route(keys, known, known.where("end_key is not null"), 8)
+    return out.withColumn("partition_id", F.when(F.col("mode") == "range", F.col("partition_id")))
+
+
+@_query(
+    "key_space_admin",
+    """SELECT key_space, count(*) AS ranges, max(generation) AS generation FROM (SELECT key_space, generation FROM M WHERE key_space <> 'orders/5-LOW'
+UNION ALL SELECT DISTINCT 'space/' || CAST(c_custkey // 10 AS VARCHAR), CAST(1 AS BIGINT) FROM customer UNION ALL SELECT 'orders/meta', 1) GROUP BY 1""",
+    "M",
+)
+def key_space_admin(spark, d):
+    new = enc.table(spark, d, "customer").selectExpr("concat('space/', cast(c_custkey div 10 as string)) as key_space", "2 as partition_id")
+    new = new.union(spark.sql("select explode(array('orders/1-URGENT', 'orders/meta')), 2"))
+    known = ranges.register_spaces(enc.order_map(spark, d), new)
+    return ranges.list_spaces(ranges.remove_spaces(known, spark.sql("select explode(array('orders/5-LOW', 'orders/meta', 'nowhere')) as key_space")))
+
+
+@_query("child_counts", "SELECT key, count(*) AS n FROM L WHERE key >= 'users/000020' AND key < 'users/000090' GROUP BY key", "L")
+def child_counts(spark, d):
+    return ranges.child_counts(enc.events_log(spark, d).groupBy("key").agg(F.count("*").alias("n")), "users/000020", "users/000090")
+
+
+@_query(
+    "idempotency_pruning",
+    f"""WITH e AS (SELECT l_returnflag AS name, CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS idempotency_key, {_MS['lineitem']} AS created_l, l_quantity = 50 AS protected FROM lineitem),
+a AS (SELECT *, row_number() OVER (PARTITION BY name, protected ORDER BY created_l DESC, idempotency_key DESC) AS n, count(*) FILTER (WHERE protected) OVER (PARTITION BY name) AS safe FROM e WHERE protected OR created_l > {_CUT - 365 * 24 * HOUR})
+SELECT name, idempotency_key, created_l, protected FROM a WHERE protected OR n <= 900 - safe""",
+)
+def idempotency_pruning(spark, d):
+    entries = enc.table(spark, d, "lineitem").selectExpr(
+        "l_returnflag as name",
+        "cast(l_orderkey * 10 + l_linenumber as string) as idempotency_key",
+        "timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', l_shipdate) as created_l",
+        "l_quantity = 50 as protected",
+    )
+    return retention.prune_idempotency(entries, _CUT, 900, 365 * 24 * HOUR)
+
+
+@_query(
+    "seq_get_delete",
+    """SELECT n.name, CASE WHEN s.name IS NULL THEN 'NotFound' ELSE 'Got' END AS status, s.current, s.current AS reserved, CASE WHEN s.name IS NULL THEN 'NotFound' ELSE 'Deleted' END AS deleted
+FROM (SELECT DISTINCT l_returnflag AS name FROM lineitem UNION SELECT DISTINCT l_linestatus FROM lineitem) n
+LEFT JOIN (SELECT l_returnflag AS name, CAST(sum(l_linenumber) AS BIGINT) AS current FROM lineitem GROUP BY 1) s USING (name)""",
+)
+def seq_get_delete(spark, d):
+    rows = enc.table(spark, d, "lineitem")
+    names = rows.selectExpr("explode(array(l_returnflag, l_linestatus)) as name").distinct()
+    records = folds.sequence_records(folds.allocate(enc.lineitem_requests(spark, d).withColumn("idempotency_key", F.lit(None).cast("string"))))
+    gone, _ = folds.delete_sequences(records, names)
+    return folds.get_sequences(records, names).join(gone.withColumnRenamed("status", "deleted"), "name")
+
+
+@_query(
+    "backup_starts",
+    """SELECT part, coalesce(high + 1, floor, 1) AS start, coalesce(coalesce(high + 1, floor, 1) < floor, FALSE) AS full_needed FROM (SELECT CAST(n_nationkey AS BIGINT) AS part FROM nation)
+LEFT JOIN (SELECT CAST(s_nationkey AS BIGINT) AS part, max(s_suppkey) AS high FROM supplier GROUP BY 1) USING (part)
+LEFT JOIN (SELECT CAST(c_nationkey AS BIGINT) AS part, min(c_custkey) AS floor FROM customer GROUP BY 1) USING (part)""",
+)
+def backup_starts(spark, d):
+    high = enc.table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("long").alias("part")).agg(F.max("s_suppkey").alias("high"))
+    floor = enc.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("part")).agg(F.min("c_custkey").alias("floor"))
+    return retention.backup_starts(enc.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("part")), high, floor)
