@@ -202,13 +202,21 @@ def find_spans(docs: DataFrame, alpha: float = 0.8, support: int = 3, width: int
     if joint.isEmpty():
         return spanned.select("doc_id", "th", "base", none.alias("terms"))
 
-    # in how many texts the terms occur that may disclose anything, over all documents
+    def telling(texts: str) -> Column:
+        pmi = F.log(F.col("nj") * F.lit(float(total)) / (F.col(texts) * F.col("ne")))
+        return pmi >= alpha * F.log(F.lit(float(total)) / F.col("ne"))
+
+    # a term occurs in at least the texts where it stands beside any entity, which rules most common words out
+    beside = near.select("th", F.explode(F.array_distinct(F.transform("terms", lambda w: w["t"]))).alias("t"))
+    beside = beside.join(small(spill(joint.select("t").distinct(), "near-terms")), "t", "left_semi")
+    least = beside.distinct().groupBy("t").agg(F.count("*").alias("least"))
+    joint = spill(joint.join(least, "t").where(telling("least")).drop("least"), "open")
+    # in how many texts the terms occur that may still disclose anything, over all documents
     asked = spill(joint.select("t").distinct(), "asked")
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), words(F.col("text"), SPACE).alias("w"))
     terms = texts.select("th", F.explode(F.array_distinct(F.transform("w", _token))).alias("t"))
     df = terms.join(small(asked), "t").distinct().groupBy("t").agg(F.count("*").alias("nt"))
-    pmi = F.log(F.col("nj") * F.lit(float(total)) / (F.col("nt") * F.col("ne")))
-    told = joint.join(df, "t").where(pmi >= alpha * F.log(F.lit(float(total)) / F.col("ne"))).select("e", "t")
+    told = joint.join(df, "t").where(telling("nt")).select("e", "t")
     told = spill(told, "disclosing")
     keys = small(told.toDF("e2", "t2"))
     hits = near.select("doc_id", "th", "e", F.explode("terms").alias("w"))
