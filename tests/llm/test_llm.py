@@ -162,8 +162,18 @@ def test_forward_and_counts_equal_brute_force():
             for u, w in zip(z, s, strict=True):
                 emit[u, w] += p / total
     assert np.allclose(hmm_lm.likelihoods(seqs, m), want)
-    got = hmm_lm.expect(seqs, m)
-    assert np.allclose(got[0], start) and np.allclose(got[1], xi) and np.allclose(got[2], emit) and np.isclose(got[3], sum(want))
+    for segment in (1, 2, 3, 256):
+        got = hmm_lm.expect(seqs, m, segment)
+        assert np.allclose(got[0], start) and np.allclose(got[1], xi) and np.allclose(got[2], emit) and np.isclose(got[3], sum(want))
+
+
+def test_hmm_counts_of_long_sequences_are_those_of_whole_ones():
+    rng = np.random.default_rng(4)
+    m = hmm_lm.States(*(x / x.sum(-1, keepdims=True) for x in (rng.random(3), rng.random((3, 3)), rng.random((3, 9)))))
+    seqs = [rng.integers(0, 9, n).astype(np.int16) for n in (1, 700, 256, 257, 5000, 512, 3)]
+    want = hmm_lm.expect(seqs, m, 10_000)
+    for segment in (1, 64, 256):
+        assert all(np.allclose(g, w) for g, w in zip(hmm_lm.expect(seqs, m, segment), want, strict=True))
 
 
 @pytest.mark.parametrize("top", [1 << 20, 50])

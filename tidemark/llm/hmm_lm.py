@@ -8,8 +8,7 @@ its words by smoothed counts:
     P(word | state) = B[state, class] * (c + 0.5) / Z[class].
 
 Baum-Welch trains the states.  Each task runs the scaled forward and backward
-recursions over its own texts, in segments of ``segment`` tokens that start
-anew, and adds up expected counts; Spark sums these by parameter, so that the
+recursions over its own whole texts and adds up expected counts; Spark sums these by parameter, so that the
 driver gets a table of a fixed size however large the corpus is.  Scores use the
 scaled forward recursion over each whole text, which is exact.
 
@@ -193,36 +192,90 @@ def _packed(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return out, active, order
 
 
-def expect(seqs: list[np.ndarray], m: States) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions, and the log10 likelihood, of some sequences."""
-    flat, active, _ = _packed(seqs)
+def _borders(pieces: list[np.ndarray], last: np.ndarray, m: States) -> tuple[np.ndarray, np.ndarray]:
+    """The distribution in which each piece of a sequence begins, and what follows it, up to a factor, at its end.
+
+    ``last`` marks the pieces that end a sequence.  A piece takes the state before
+    it to the state behind it by a matrix; these are multiplied for all pieces side
+    by side, and then along each sequence.
+    """
+    k = len(m.pi)
+    first = np.concatenate([[True], last[:-1]])
+    enter, leave = np.tile(m.pi, (len(pieces), 1)), np.ones((len(pieces), k))
+    cut = np.flatnonzero(~(first & last))
+    if not len(cut):
+        return enter, leave
+    flat, active, order = _packed([pieces[i] for i in cut])
+    bt = np.ascontiguousarray(m.b.T)
+    across = np.tile(np.eye(k), (len(cut), 1, 1))
+    at = 0
+    for n in active:
+        step = (across[:n] * bt[flat[at : at + n]][:, None, :]) @ m.a
+        across[:n] = step / step.sum((1, 2))[:, None, None]
+        at += n
+    through = np.zeros((len(pieces), k, k))
+    through[cut[order]] = across
+    start, size = np.flatnonzero(first), np.diff(np.append(np.flatnonzero(first), len(pieces)))
+    for i in range(1, int(size.max())):
+        now = start[size > i] + i
+        ahead = np.einsum("ni,nij->nj", enter[now - 1], through[now - 1])
+        enter[now] = ahead / ahead.sum(1)[:, None]
+    # what the rest of a sequence says to the state before it
+    rest = np.ones((len(pieces), k))
+    for i in range(int(size.max()) - 1, 0, -1):
+        now = start[size > i] + i
+        rest[now] = np.einsum("nij,nj->ni", through[now], np.where(last[now][:, None], 1.0, rest[(now + 1) % len(pieces)]))
+        rest[now] /= rest[now].sum(1)[:, None]
+        leave[now - 1] = rest[now] @ m.a.T
+    return enter, leave
+
+
+def expect(seqs: list[np.ndarray], m: States, segment: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions, and the log10 likelihood, of some whole sequences.
+
+    Pieces of ``segment`` tokens are worked on side by side, each from what stands
+    before and behind it; the counts are those of the whole sequences.
+    """
+    pieces = [x[i : i + segment] for x in seqs for i in range(0, len(x), segment)]
+    last = np.zeros(len(pieces), dtype=bool)
+    last[np.cumsum([-(-len(x) // segment) for x in seqs]) - 1] = True
+    enter, leave = _borders(pieces, last, m)
+    flat, active, order = _packed(pieces)
+    enter, leave = enter[order], leave[order]
     begin = np.cumsum(active) - active
     bt = np.ascontiguousarray(m.b.T)
     e = bt[flat]
     alpha, scale = np.empty_like(e), np.empty(len(flat))
-    now = m.pi * e[: active[0]]
     for t, n in enumerate(active):
         at = slice(begin[t], begin[t] + n)
-        if t:
-            now = (now[:n] @ m.a) * e[at]
+        now = ((now[:n] @ m.a) if t else enter) * e[at]
         c = now.sum(1)
         now = now / c[:, None]
         alpha[at], scale[at] = now, c
+    size = np.array([len(x) for x in pieces])[order]
+    final = alpha[begin[size - 1] + np.arange(len(size))]
+    leave /= (final * leave).sum(1)[:, None]
     xi = np.zeros_like(m.a)
     gamma = np.empty_like(e)
-    back = np.ones((active[-1], len(m.pi)))
+    back = leave[: active[-1]]
     for t in range(len(active) - 1, -1, -1):
-        at = slice(begin[t], begin[t] + active[t])
-        if len(back) < active[t]:
-            back = np.concatenate([back, np.ones((active[t] - len(back), len(m.pi)))])
+        n = active[t]
+        at = slice(begin[t], begin[t] + n)
+        if len(back) < n:
+            back = np.concatenate([back, leave[len(back) : n]])
         gamma[at] = alpha[at] * back
+        ahead = e[at] * back / scale[at][:, None]
         if t:
-            n = active[t]
-            ahead = e[at] * back / scale[at][:, None]
             xi += alpha[begin[t - 1] : begin[t - 1] + n].T @ ahead
             back = ahead @ m.a.T
+    # from one piece to the next
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    cut = np.flatnonzero(~last)
+    xi += final[place[cut]].T @ ahead[place[cut + 1]]
+    first = place[np.concatenate([[True], last[:-1]])]
     emit = np.stack([np.bincount(flat, weights=gamma[:, k], minlength=m.b.shape[1]) for k in range(len(m.pi))])
-    return gamma[: active[0]].sum(0), xi * m.a, emit, float(np.log10(scale).sum())
+    return gamma[first].sum(0), xi * m.a, emit, float(np.log10(scale).sum())
 
 
 def likelihoods(seqs: list[np.ndarray], m: States) -> np.ndarray:
@@ -247,7 +300,7 @@ def _sequences(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.int16) for x in batch.column(batch.schema.get_field_index("classes")).to_pylist()]
 
 
-def _round(encoded: DataFrame, m: States, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _round(encoded: DataFrame, m: States) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """One Baum-Welch pass: the expected counts of all training sequences."""
     k, width = len(m.pi), m.b.shape[1]
     shared = encoded.sparkSession.sparkContext.broadcast(m)
@@ -263,9 +316,8 @@ def _round(encoded: DataFrame, m: States, segment: int) -> tuple[np.ndarray, np.
         part, held = [], 0
         for batch in batches:
             for seq in _sequences(batch):
-                for i in range(0, len(seq), segment):
-                    part.append(seq[i : i + segment])
-                    held += len(part[-1])
+                part.append(seq)
+                held += len(seq)
                 if held >= 1 << 18:
                     add(part)
                     part, held = [], 0
@@ -280,7 +332,7 @@ def _round(encoded: DataFrame, m: States, segment: int) -> tuple[np.ndarray, np.
     return out[:k], out[k : k + k * k].reshape(k, k), out[k + k * k : -1].reshape(k, width), float(out[-1])
 
 
-def score(docs: DataFrame, states: int = 6, rounds: int = 5, segment: int = 256, seed: int = 3, top: int = TOP) -> DataFrame:
+def score(docs: DataFrame, states: int = 6, rounds: int = 5, seed: int = 3, top: int = TOP) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     One row per row of ``docs``; scores are log10 probabilities of whole texts.
@@ -316,7 +368,7 @@ def score(docs: DataFrame, states: int = 6, rounds: int = 5, segment: int = 256,
     unigram = (mass + 0.5) / (mass + 0.5).sum()
     m = States.begin(unigram, states, seed)
     for _ in range(rounds):
-        pi, xi, emit, _ = _round(encoded, m, segment)
+        pi, xi, emit, _ = _round(encoded, m)
         m = States.from_counts(pi, xi, emit, unigram)
     shared = spark.sparkContext.broadcast((m, log_z))
 
