@@ -525,6 +525,13 @@ def test_variants_and_short_lines(spark):
     assert out.columns == clash.columns and {r["doc_id"]: r["text"] for r in out.collect()} == want
 
 
+def test_rarity_levels_are_short_in_plans(spark):
+    frame = spark.range(3000).selectExpr("concat_ws(' ', transform(sequence(0, id % 60), i -> concat('w', id div 60 * i))) as text")
+    out = frame.select(line_dedup._ranked(F.col("text"), line_dedup._levels(frame)))
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 100_000
+    assert max(max(r[0]) for r in out.collect()) >> 56 > 0
+
+
 # hard cases and the pipeline
 
 OPERATORS = {
