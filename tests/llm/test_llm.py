@@ -532,6 +532,12 @@ def test_rarity_levels_are_short_in_plans(spark):
     assert max(max(r[0]) for r in out.collect()) >> 56 > 0
 
 
+@pytest.mark.parametrize("rows", [1, 40])
+def test_lines_whatever_rows_are_counted(spark, monkeypatch, rows):
+    monkeypatch.setattr(line_dedup, "SAMPLE", rows)
+    test_variants_and_short_lines(spark)
+
+
 # hard cases and the pipeline
 
 OPERATORS = {
