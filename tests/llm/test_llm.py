@@ -538,6 +538,28 @@ def test_lines_whatever_rows_are_counted(spark, monkeypatch, rows):
     test_variants_and_short_lines(spark)
 
 
+def test_rare_words_seldom_count_as_frequent(spark):
+    """Lines meet by their rarest words: one that shares a counter with a frequent word draws in all lines of that word."""
+    rows = spark.range(3000).selectExpr("concat_ws(' ', transform(sequence(0, 99), i -> concat('often', (id * 100 + i) % 2000))) as often", "concat('once', id) as once")
+    level = line_dedup._levels(rows.selectExpr("concat(often, ' ', once) as text"))
+    once = [r[0][0] >> 56 for r in rows.select(line_dedup._ranked(F.col("once"), level)).collect()]
+    often = [x >> 56 for x in rows.select(line_dedup._ranked(F.col("often"), level)).first()[0]]
+    assert sum(x > 0 for x in once) < 0.03 * len(once) and min(often) > 0
+
+
+@pytest.mark.parametrize("crowd", [0, 8])
+def test_lines_whatever_is_a_crowd(spark, monkeypatch, crowd):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    test_variants_and_short_lines(spark)
+
+
+def test_white_space_within_lines(spark):
+    text = "one two\tthree\x0bfour\nfour  three\r\n \t\nONE TWO\x0cTHREE four \n\u0391\u03a3 \u0391\u03a3 x\n\u03b1\u03c2\tx"
+    frame = spark.createDataFrame([(1, text), (2, "four\tthree"), (3, "\t\n"), (3, "three\x0cfour")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_lines"], r["n_compared"], list(r["kept_lines"])) for r in line_dedup.line_report(frame).collect())
+    assert got == [(1, 6, 5, [0, 1, 4]), (2, 1, 1, []), (3, 1, 1, []), (3, 2, 0, [])]
+
+
 # hard cases and the pipeline
 
 OPERATORS = {
