@@ -299,3 +299,51 @@ def test_idempotency_pruning_rules(spark):
     assert kept(10, 0, 8) == list("acde")  # as old as the lifetime is too old
     assert kept(10, 2, 0) == list("ae")  # the protected one takes its place
     assert kept(10, 3, 7) == list("ade")
+
+
+@pytest.mark.parametrize(
+    "how, keys, top",
+    [
+        ({}, 0, 7),
+        ({"block": 10}, 0, 7),
+        ({"block": 10}, 40, 7),
+        ({"block": 10, "increment": 3, "initial": 5, "maximum": 900}, 40, 7),
+        ({"block": 4, "maximum": 700}, 60, 90),  # large requests are refused and small ones are not
+        ({"maximum": 2000}, 60, 300),
+        ({"block": 1000}, 0, 1),
+    ],
+)
+def test_long_sequences_in_parts(spark, monkeypatch, how, keys, top):
+    """Parts of 40 requests give what a plain loop over each whole sequence gives, ties, refusals and repeated keys included."""
+    import random
+
+    from tidemark.operators import sequences
+    from tidemark.schemas import SEQUENCE_REQUESTS
+
+    draw = random.Random(7)
+    rows = []
+    for name, n in (("a", 700), (None, 300), ("b", 90), ("c", 30), ("d", 3)):
+        for i in range(n):
+            key = f"k{draw.randrange(keys)}" if keys and draw.random() < 0.3 else None
+            rows.append((i if i % 9 else i - i // 2 % 3, name, draw.choice([draw.randint(-1, top), 1, draw.randint(1, min(top, 7))]), key, 0))
+    draw.shuffle(rows)
+    frame = spark.createDataFrame(rows, SEQUENCE_REQUESTS).repartition(3)
+    monkeypatch.setattr(sequences, "PART_ROWS", 10**9)
+    want = sorted(map(repr, folds.allocate(frame, **how).collect()))
+    assert len(want) == len(rows)
+    monkeypatch.setattr(sequences, "PART_ROWS", 40)
+    kernel = folds.kernel
+
+    def watched(key, begin, step, schema):
+        run = kernel(key, begin, step, schema)
+
+        def short(batches, n=0):
+            for b in batches:
+                n += len(b) if "seq" in b else 0
+                assert n < 150  # no task has a whole long sequence
+                yield b
+
+        return lambda batches: run(short(batches))
+
+    monkeypatch.setattr(folds, "kernel", watched)
+    assert sorted(map(repr, folds.allocate(frame, **how).collect())) == want

@@ -21,19 +21,27 @@ LAST = 2**63 - 1
 
 def fold(ops: DataFrame, key: str, order: list[str], begin: Callable[[], dict], step: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
     """``step(state, row)`` returns the result's columns after the key and may change the state."""
+    return ops.repartition(key).sortWithinPartitions(key, *order).mapInPandas(kernel(key, lambda row: begin(), step, schema), schema)
+
+
+def kernel(key: str, begin: Callable[[dict], dict], step: Callable[[dict, dict], tuple], schema: str) -> Callable:
+    """Streams rows that are sorted by key; ``begin(row)`` is the state before a key's first row."""
     names = [c.split()[0] for c in schema.split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, None
         for batch in batches:
             out = []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            names_in = list(batch.columns)
+            columns = [c.tolist() if c.notna().all() else c.astype(object).where(c.notna(), None).tolist() for _, c in batch.items()]
+            for values in zip(*columns, strict=True):
+                row = dict(zip(names_in, values, strict=True))
                 if state is None or row[key] != at:
-                    at, state = row[key], begin()
+                    at, state = row[key], begin(row)
                 out.append((at, *step(state, row)))
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)  # whole numbers beside nulls stay whole
 
-    return ops.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return run
 
 
 def new_entry() -> dict:
@@ -127,17 +135,21 @@ def apply_leases(ops: DataFrame) -> DataFrame:
 
 
 def allocate(ops: DataFrame, initial: int = 0, increment: int = 1, maximum: int | None = None, block: int = 1) -> DataFrame:
-    """Contiguous runs of sequence values; a run is never split, so the rest of a block may be left out."""
+    """Contiguous runs of sequence values; a run is never split, so the rest of a block may be left out.
+
+    A long sequence is cut into parts, each of them one task's work.
+    """
+    from . import sequences
+
     if increment <= 0 or (maximum is not None and maximum < initial):
         raise ValueError("the increment is positive and the maximum no less than the initial value")
 
-    def begin() -> dict:
-        return {"current": initial, "reserved": initial, "seen": {}}
-
     def step(s: dict, r: dict) -> tuple:
         seq, n, key = int(r["seq"]), int(r["count"]), r["idempotency_key"]
         if n <= 0:
             return seq, "InvalidInput", None, None, s["reserved"]
+        if r.get("copied"):  # of an allocation in an earlier part, which fills it in
+            return seq, "Copied", None, None, s["reserved"]
         if key is not None and key in s["seen"]:
             first, last, count = s["seen"][key]
             return (seq, "Allocated", first, last, s["reserved"]) if count == n else (seq, "InvalidInput", None, None, s["reserved"])
@@ -156,7 +168,7 @@ def allocate(ops: DataFrame, initial: int = 0, increment: int = 1, maximum: int
             s["seen"][key] = (first, last, n)
         return seq, "Allocated", first, last, reserved
 
-    return fold(ops, "name", ["seq"], begin, step, schemas.SEQUENCE_RESULT)
+    return sequences.in_parts(ops, step, initial, increment, LAST if maximum is None else maximum, block)
 
 
 def sequence_records(results: DataFrame) -> DataFrame:
