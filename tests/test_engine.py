@@ -347,3 +347,34 @@ def test_long_sequences_in_parts(spark, monkeypatch, how, keys, top):
 
     monkeypatch.setattr(folds, "kernel", watched)
     assert sorted(map(repr, folds.allocate(frame, **how).collect())) == want
+
+
+@pytest.mark.parametrize("map_rows", [0, 100_000])
+def test_a_key_meets_few_descriptors(spark, monkeypatch, map_rows):
+    """Maps of 1, 16, 17 and 300 descriptors, with gaps, open ends, and keys outside of all of them; no key is compared with a whole map."""
+    from pyspark.sql import functions as F
+
+    m, holds = [], {}
+    for space, n in (("a", 300), ("b", 17), ("c", 16), ("d", 1)):
+        for i in range(n):
+            start, end = (f"{10 * i:05d}" if i or space == "b" else None), (f"{10 * i + (7 if i % 5 == 3 else 10):05d}" if i + 1 < n or space == "c" else None)
+            m.append((space, start, end, i + 1, 1))
+            holds.setdefault(space, []).append((start, end, i + 1))
+    keys = [(f"{i:05d}", s) for s in "abcde" for i in range(0, 3100, 3)] + [("", "a"), (None, "a"), ("00005", None)]
+    met = []
+    broadcast = F.broadcast
+
+    def watched(frame):
+        met.append(frame.groupBy(*[c for c in ("space", "parent") if c in frame.columns]).count().agg(F.max("count")).first()[0])
+        return broadcast(frame)
+
+    monkeypatch.setattr(F, "broadcast", watched)
+    monkeypatch.setattr(ranges, "MAP_ROWS", map_rows)
+    frame = spark.createDataFrame(m, "key_space string, start_key string, end_key string, partition_id int, generation long").repartition(3)
+    got = ranges.route_range(spark.createDataFrame(keys, "key string, bucket string"), frame).collect()
+    want = []
+    for k, s in keys:
+        p = [p for a, b, p in holds.get(s, []) if k is not None and (a is None or k >= a) and (b is None or k < b)]
+        want.append((k, s, *((p[0], 1) if p else (None, None))))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert max(met, default=0) <= 16 and bool(met) == bool(map_rows)

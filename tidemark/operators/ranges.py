@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Descriptors that may be broadcast; a larger map is merged with the sorted keys instead.
+#: Rows that may be broadcast; a larger level of a map's tree is joined by a shuffle instead.
 MAP_ROWS = 100_000
 
+#: Children of a node in a map's tree.
+FAN = 16
+
 
 def route_hash(keys: DataFrame, pool: int) -> DataFrame:
     """(key, bucket, partition_id): all keys of a bucket in one partition."""
@@ -16,19 +19,39 @@ def route_hash(keys: DataFrame, pool: int) -> DataFrame:
 
 
 def route_range(keys: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(key, key_space, partition_id, generation): the descriptor that holds each key; null where none does."""
+    """(key, key_space, partition_id, generation): the descriptor that holds each key; null where none does.
+
+    The last descriptor that begins at or before the key is asked whether it
+    holds it.  It is found down a tree of the map, so that a key meets ``FAN``
+    rows a level, whatever the size of the map.
+    """
+    from ..sources.storage import written
+
     k = keys.select("key", F.col("bucket").alias("key_space"))
-    if ranges.count() <= MAP_ROWS:
-        r = F.broadcast(ranges.withColumnRenamed("key_space", "space"))
-        hit = F.expr("key_space = space and (start_key is null or key >= start_key) and (end_key is null or key < end_key)")
-        return k.join(r, hit, "left").select("key", "key_space", "partition_id", "generation")
-    # boundaries and keys in one order: the last boundary at or before a key is its descriptor
-    edge = ranges.select("key_space", F.col("start_key").alias("at"), F.struct("partition_id", "generation", "end_key").alias("d"), F.lit(0).alias("is_key"))
-    both = edge.unionByName(k.select("key_space", F.col("key").alias("at"), F.lit(None).cast(edge.schema["d"].dataType).alias("d"), F.lit(1).alias("is_key")))
-    run = Window.partitionBy("key_space").orderBy(F.col("at").asc_nulls_first(), "is_key").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("d", F.last("d", ignorenulls=True).over(run)).where("is_key = 1")
-    ok = F.expr("d.end_key is null or at < d.end_key")
-    return found.select(F.col("at").alias("key"), "key_space", F.when(ok, F.col("d.partition_id")).alias("partition_id"), F.when(ok, F.col("d.generation")).alias("generation"))
+    order = Window.partitionBy("key_space").orderBy("s", F.col("end_key").asc_nulls_last(), "partition_id")
+    m = ranges.select("key_space", F.coalesce("start_key", F.lit("")).alias("s"), "end_key", "partition_id", "generation")
+    m = written(m.withColumn("n", F.row_number().over(order).cast("long") - 1), "map")
+    longest, total = m.agg(F.coalesce(F.max("n") + 1, F.lit(0)), F.count("*")).first()
+    depth = 0
+    while FAN ** (depth + 1) < longest:
+        depth += 1
+    out = k.withColumn("node", F.lit(0).cast("long"))
+    for level in range(depth, -1, -1):
+        width = FAN**level
+        first = m.where(F.col("n") % width == 0)
+        nodes = first.select(
+            F.col("key_space").alias("space"),
+            F.expr(f"n div {width * FAN}").alias("parent"),
+            F.expr(f"n div {width}").alias("child"),
+            F.col("s").alias("from"),
+            F.lead("s").over(Window.partitionBy("key_space").orderBy("n")).alias("until"),
+            *[F.col(c) for c in ("end_key", "partition_id", "generation") if level == 0],
+        )
+        hit = F.expr("key_space = space and node = parent and key >= from and (until is null or key < until)")
+        out = out.join(F.broadcast(nodes) if total // width <= MAP_ROWS else nodes, hit, "left")
+        out = out.select("key", "key_space", F.col("child").alias("node"), *nodes.columns[5:])
+    held = F.expr("end_key is null or key < end_key")
+    return out.select("key", "key_space", *[F.when(held, F.col(c)).alias(c) for c in ("partition_id", "generation")])
 
 
 def intersecting(ranges: DataFrame, key_space: str, start: str | None, end: str | None) -> DataFrame:
