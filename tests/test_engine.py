@@ -378,3 +378,21 @@ def test_a_key_meets_few_descriptors(spark, monkeypatch, map_rows):
         want.append((k, s, *((p[0], 1) if p else (None, None))))
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert max(met, default=0) <= 16 and bool(met) == bool(map_rows)
+
+
+def test_routing_reads_the_keys_once(spark):
+    keys = spark.range(400).selectExpr("case id % 4 when 0 then null when 1 then concat('a/', id) when 2 then concat('a/b/', id) else concat('k', id) end as key")
+    m = spark.createDataFrame([("a", None, "a/3", 1, 5), ("a/b", "a/b/2", None, 2, 6)], "key_space string, start_key string, end_key string, partition_id int, generation long")
+    out = ranges.route(keys, m.where("key_space = 'a' or partition_id = 2"), m, 8)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    got = out.collect()
+    homes = {r["key"]: r["partition_id"] for r in ranges.route_hash(keys.selectExpr("key", "key as bucket"), 8).collect()}
+    assert len(got) == 400
+    for r in got:
+        k = r["key"]
+        if k is None or k[0] == "k":
+            assert tuple(r) == (k, k, "hash", homes[k], 0, True)
+        elif k.startswith("a/b/"):
+            assert tuple(r)[1:] == ("a/b", "range", *((2, 6, True) if k >= "a/b/2" else (None, None, False)))
+        else:
+            assert tuple(r)[1:] == ("a", "range", *((1, 5, True) if k < "a/3" else (None, None, False)))

@@ -14,8 +14,11 @@ FAN = 16
 
 def route_hash(keys: DataFrame, pool: int) -> DataFrame:
     """(key, bucket, partition_id): all keys of a bucket in one partition."""
-    home = F.pmod(F.xxhash64(F.coalesce("bucket", F.lit(""))), F.lit(pool)) + 1
-    return keys.select("key", "bucket", home.cast("int").alias("partition_id"))
+    return keys.select("key", "bucket", _home("bucket", pool).alias("partition_id"))
+
+
+def _home(bucket: str, pool: int):
+    return (F.pmod(F.xxhash64(F.coalesce(bucket, F.lit(""))), F.lit(pool)) + 1).cast("int")
 
 
 def route_range(keys: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -189,14 +192,21 @@ def route(keys: DataFrame, spaces: DataFrame, ranges: DataFrame, pool: int) -> D
     A key's space is all before its last slash, or the whole key.  A key of a
     registered space that no descriptor holds is not covered.
     """
-    space = F.when(F.contains("key", F.lit("/")), F.regexp_replace("key", "/[^/]*$", "")).otherwise(F.col("key"))
+    from ..sources.storage import written
+
+    space = F.when(F.contains("key", F.lit("/")), F.expr("left(key, length(key) - length(substring_index(key, '/', -1)) - 1)")).otherwise(F.col("key"))
     mine = keys.select("key", space.alias("bucket"))
-    names = spaces.select(F.col("key_space").alias("bucket")).distinct()
-    by_range = route_range(mine.join(names, "bucket", "left_semi"), ranges)
-    by_hash = route_hash(mine.join(names, "bucket", "left_anti"), pool)
-    ranged = by_range.select("key", "key_space", F.lit("range").alias("mode"), "partition_id", "generation", F.col("partition_id").isNotNull().alias("covered"))
-    return ranged.unionByName(
-        by_hash.select("key", F.col("bucket").alias("key_space"), F.lit("hash").alias("mode"), "partition_id", F.lit(0).cast("long").alias("generation"), F.lit(True).alias("covered"))
+    names = written(spaces.select("key_space").distinct(), "spaces").withColumn("known", F.lit(True))
+    routed = route_range(mine, ranges)
+    routed = routed.join(F.broadcast(names) if names.count() <= MAP_ROWS else names, "key_space", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    known = F.col("known")
+    return routed.select(
+        "key",
+        "key_space",
+        F.when(known, "range").otherwise("hash").alias("mode"),
+        F.when(known, F.col("partition_id")).otherwise(_home("key_space", pool)).alias("partition_id"),
+        F.when(known, F.col("generation")).otherwise(0).alias("generation"),
+        (~known | F.col("partition_id").isNotNull()).alias("covered"),
     )
 
 
