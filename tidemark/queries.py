@@ -9,6 +9,7 @@ from .functions.columns import Typed, compile_expression, text as column_text
 from .operators import folds, metrics, ranges, reads, retention, scans, visibility
 from .plans import scripts
 from .sources import encodings as enc
+from .sources import storage
 
 T = 1705276800000  # 2024-01-15 00:00 UTC
 NOW = 1705881600000  # a week later
@@ -725,6 +726,7 @@ def seq_get_delete(spark, d):
     rows = enc.table(spark, d, "lineitem")
     names = rows.selectExpr("explode(array(l_returnflag, l_linestatus)) as name").distinct()
     records = folds.sequence_records(folds.allocate(enc.lineitem_requests(spark, d).withColumn("idempotency_key", F.lit(None).cast("string"))))
+    records = storage.written(records, "records")
     gone, _ = folds.delete_sequences(records, names)
     return folds.get_sequences(records, names).join(gone.withColumnRenamed("status", "deleted"), "name")
 
